@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.llm import bpe, sharding, warc
+from quire.llm import bpe, jaccard_join, sharding, warc
 
 
 def _read(spark, sf_dir, name):
@@ -17,9 +17,13 @@ def op4_sharding(spark, sf_dir):
     return sharding.shard_documents(_read(spark, sf_dir, "documents"))
 
 
+def op5_jaccard_join(spark, sf_dir):
+    return jaccard_join.groups(_read(spark, sf_dir, "documents"))
+
+
 def op7_warc(spark, sf_dir):
     return warc.normalised_pages(_read(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op4_sharding": op4_sharding, "op7_warc": op7_warc}
-SQL = {"op4_sharding": sharding.SQL, "op7_warc": warc.SQL}
+QUERIES = {"op1_bpe": op1_bpe, "op4_sharding": op4_sharding, "op5_jaccard_join": op5_jaccard_join, "op7_warc": op7_warc}
+SQL = {"op4_sharding": sharding.SQL, "op5_jaccard_join": jaccard_join.SQL, "op7_warc": warc.SQL}
