@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.llm import bpe, jaccard_join, sharding, warc
+from quire.llm import bpe, jaccard_join, quality_classifier, quality_rules, sharding, warc
 
 
 def _read(spark, sf_dir, name):
@@ -13,6 +13,16 @@ def op1_bpe(spark, sf_dir):
     return bpe.round_trip(_read(spark, sf_dir, "documents"), bpe.vocabulary(spark))
 
 
+def op2_quality_classifier(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents")
+    return quality_classifier.judged(docs, quality_classifier.train(docs, _read(spark, sf_dir, "labels")))
+
+
+def op3_quality_rules(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents")
+    return quality_rules.judged(docs, quality_rules.train(docs, _read(spark, sf_dir, "labels")))
+
+
 def op4_sharding(spark, sf_dir):
     return sharding.shard_documents(_read(spark, sf_dir, "documents"))
 
@@ -25,5 +35,12 @@ def op7_warc(spark, sf_dir):
     return warc.normalised_pages(_read(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op4_sharding": op4_sharding, "op5_jaccard_join": op5_jaccard_join, "op7_warc": op7_warc}
+QUERIES = {
+    "op1_bpe": op1_bpe,
+    "op2_quality_classifier": op2_quality_classifier,
+    "op3_quality_rules": op3_quality_rules,
+    "op4_sharding": op4_sharding,
+    "op5_jaccard_join": op5_jaccard_join,
+    "op7_warc": op7_warc,
+}
 SQL = {"op4_sharding": sharding.SQL, "op5_jaccard_join": jaccard_join.SQL, "op7_warc": warc.SQL}
