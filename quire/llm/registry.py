@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.llm import bpe, jaccard_join, quality_classifier, quality_rules, sharding, warc
+from quire.llm import bpe, embedding_dedup, jaccard_join, packing, quality_classifier, quality_rules, secrets, sharding, warc
 
 
 def _read(spark, sf_dir, name):
@@ -31,16 +31,36 @@ def op5_jaccard_join(spark, sf_dir):
     return jaccard_join.groups(_read(spark, sf_dir, "documents"))
 
 
+def op6_secret_scans(spark, sf_dir):
+    return secrets.scanned(_read(spark, sf_dir, "documents"), secrets.scanner())
+
+
 def op7_warc(spark, sf_dir):
     return warc.normalised_pages(_read(spark, sf_dir, "pages"))
 
 
+def op8_embedding_dedup(spark, sf_dir):
+    return embedding_dedup.near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
+def op9_packing(spark, sf_dir):
+    return packing.packed(_read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_quality_rules": op3_quality_rules,
     "op4_sharding": op4_sharding,
     "op5_jaccard_join": op5_jaccard_join,
+    "op6_secret_scans": op6_secret_scans,
     "op7_warc": op7_warc,
+    "op8_embedding_dedup": op8_embedding_dedup,
+    "op9_packing": op9_packing,
+}
+SQL = {
+    "op4_sharding": sharding.SQL,
+    "op5_jaccard_join": jaccard_join.SQL,
+    "op7_warc": warc.SQL,
+    "op8_embedding_dedup": embedding_dedup.SQL,
 }
-SQL = {"op4_sharding": sharding.SQL, "op5_jaccard_join": jaccard_join.SQL, "op7_warc": warc.SQL}
