@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.llm import bpe, embedding_dedup, jaccard_join, packing, quality_classifier, quality_rules, secrets, sharding, warc
+from quire.llm import bpe, embedding_dedup, jaccard_join, language_id, packing, quality_classifier, quality_rules, secrets, sharding, warc
 
 
 def _read(spark, sf_dir, name):
@@ -47,6 +47,11 @@ def op9_packing(spark, sf_dir):
     return packing.packed(_read(spark, sf_dir, "documents"))
 
 
+def op10_language_id(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents")
+    return language_id.labelled(docs, language_id.train(docs))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_quality_classifier": op2_quality_classifier,
@@ -57,6 +62,7 @@ QUERIES = {
     "op7_warc": op7_warc,
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_packing": op9_packing,
+    "op10_language_id": op10_language_id,
 }
 SQL = {
     "op4_sharding": sharding.SQL,
