@@ -1 +1 @@
-
+"""Pure Column expressions."""

@@ -1 +1 @@
-
+"""The curation store's statements, and the named queries."""

@@ -1 +1 @@
-
+"""Where corpora come from and go to."""
