@@ -90,9 +90,16 @@ class Model:
         slot = (h >> U64(64 - SLOT_BITS)).astype(np.int64)
         return np.where(self.slot_hash[slot] == h, self.slot_word[slot], len(self.weights["E"]) - 1)
 
-    def encode(self, word: np.ndarray, begin: np.ndarray, style: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def known(self, word: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same without the unknown words, as they add nothing, but for one at the start of each passage, so that none is empty."""
+        kept = word != len(self.weights["E"]) - 1
+        kept[begin[:-1]] = True
+        return word[kept], np.concatenate([[0], np.cumsum(kept)])[begin]
+
+    def encode(self, word: np.ndarray, begin: np.ndarray, size: np.ndarray, style: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Passages of ``size`` words, whose known ones begin at ``begin``."""
         w = self.weights
-        scale = (1 / np.sqrt(np.diff(begin) + 1)).astype(np.float32)[:, None]
+        scale = (1 / np.sqrt(size + 1)).astype(np.float32)[:, None]
         return np.tanh(_segment(w["E"][word], begin) * scale + style @ w["S"] + w["b"]), scale
 
     def attend(self, h: np.ndarray, doc: np.ndarray, t: int) -> tuple:
@@ -109,13 +116,18 @@ class Model:
 
 def _vocabulary(hashes_: np.ndarray, doc: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """Slots of the words that go with a label, the most telling first; a word whose slot is taken stays unknown."""
-    pairs = np.unique(np.stack([doc.astype(U64), hashes_], 1), axis=0)
-    words, which, docs = np.unique(pairs[:, 1], return_inverse=True, return_counts=True)
+    order = np.lexsort((hashes_, doc))
+    doc, hashes_ = doc[order], hashes_[order]
+    new = np.ones(doc.size, bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (hashes_[1:] != hashes_[:-1])
+    doc, hashes_ = doc[new], hashes_[new]
+    del order, new
+    words, which, docs = np.unique(hashes_, return_inverse=True, return_counts=True)
     of = np.unique(doc)
     z = np.zeros(words.size)
     for t in range(2):
         p = np.clip(y[of, t].mean(), 1e-3, 1 - 1e-3)
-        seen = np.bincount(which, weights=y[pairs[:, 0].astype(np.int64), t], minlength=words.size)
+        seen = np.bincount(which, weights=y[doc, t], minlength=words.size)
         z = np.maximum(z, np.abs(seen - docs * p) / np.sqrt(docs * p * (1 - p)))
     order = np.lexsort((words, -z))
     order = order[(docs[order] >= MIN_DOCS) & (z[order] >= SIGNIFICANT)][:WORDS]
@@ -132,14 +144,16 @@ def fit(h: np.ndarray, begin: np.ndarray, doc: np.ndarray, style: np.ndarray, y:
     rng = np.random.default_rng(seed)
     n = len(doc) - 1
     held = rng.permutation(n) < n // 5
-    words_of = np.repeat(np.arange(n), np.diff(begin[doc]))
+    words_of = np.repeat(np.arange(n, dtype=np.int32), np.diff(begin[doc]))
     fitted = ~held[words_of]
-    slot_hash, slot_word, size = _vocabulary(h[fitted], words_of[fitted], y)
-    shape = {"E": (size + 1, HIDDEN), "S": (STYLES, HIDDEN), "b": (HIDDEN,), "V": (2, HIDDEN, GATE), "U": (2, HIDDEN, GATE), "w": (2, GATE), "c": (2, HIDDEN), "d": (2,)}
+    slot_hash, slot_word, unknown = _vocabulary(h[fitted], words_of[fitted], y)
+    del words_of, fitted
+    shape = {"E": (unknown + 1, HIDDEN), "S": (STYLES, HIDDEN), "b": (HIDDEN,), "V": (2, HIDDEN, GATE), "U": (2, HIDDEN, GATE), "w": (2, GATE), "c": (2, HIDDEN), "d": (2,)}
     w = {k: (rng.normal(0, {"E": 0.05, "b": 0, "d": 0}.get(k, 0.3), s)).astype(np.float32) for k, s in shape.items()}
     w["E"][-1] = 0
     model = Model(slot_hash, slot_word, w)
-    word = model.words(h)
+    size = np.diff(begin)
+    word, begin = model.known(model.words(h), begin)
     m, v = ({k: np.zeros_like(x) for k, x in w.items()} for _ in range(2))
     share = np.clip(y[~held].mean(0), 1e-3, 1 - 1e-3)
     step, train = 0, np.flatnonzero(~held)
@@ -148,14 +162,14 @@ def fit(h: np.ndarray, begin: np.ndarray, doc: np.ndarray, style: np.ndarray, y:
         rate = RATE * (1 - epoch / epochs)
         for at in range(0, order.size, BATCH):
             of = order[at : at + BATCH]
-            g = _gradients(model, np.where(rng.random(word.size) < DROPPED, size, word), begin, doc, style, y, of, share)
+            g = _gradients(model, np.where(rng.random(word.size) < DROPPED, unknown, word), begin, size, doc, style, y, of, share)
             step += 1
             for k, x in g.items():
                 m[k] += 0.1 * (x - m[k])
                 v[k] += 0.005 * (x * x - v[k])
                 w[k] -= rate * (m[k] / (1 - 0.9**step) / (np.sqrt(v[k] / (1 - 0.995**step)) + 1e-7) + DECAY * w[k])
             w["E"][-1] = 0
-    p = scores(model, word, begin, doc, style)[0]
+    p = scores(model, word, begin, size, doc, style)[0]
     check = np.flatnonzero(held) if held.any() else np.arange(n)
     clean = check[(y[check] == [1, 0]).all(1)]
     for t, name in enumerate(TASKS):
@@ -175,12 +189,12 @@ def _pick(off: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(off[of] - end[:-1], count) + np.arange(end[-1]), end
 
 
-def _gradients(model: Model, word, begin, doc, style, y, of, share) -> dict[str, np.ndarray]:
+def _gradients(model: Model, word, begin, size, doc, style, y, of, share) -> dict[str, np.ndarray]:
     w = model.weights
     which, doc = _pick(doc, of)
     at, begin = _pick(begin, which)
     word, style, y = word[at], style[which], y[of]
-    h, scale = model.encode(word, begin, style)
+    h, scale = model.encode(word, begin, size[which], style)
     dh = np.zeros_like(h)
     g = {k: np.zeros_like(x) for k, x in w.items()}
     for t in range(2):
@@ -202,9 +216,9 @@ def _gradients(model: Model, word, begin, doc, style, y, of, share) -> dict[str,
     return g
 
 
-def scores(model: Model, word, begin, doc, style) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def scores(model: Model, word, begin, size, doc, style) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For documents with passages: quality and toxicity; the passage with most weight for each, and that weight."""
-    h, _ = model.encode(word, begin, style)
+    h, _ = model.encode(word, begin, size, style)
     p, top, most = (np.zeros((len(doc) - 1, 2)) for _ in range(3))
     for t in range(2):
         _, _, alpha, _, logit = model.attend(h, doc, t)
@@ -247,7 +261,7 @@ def verdict(texts: pa.Array, model: Model | None) -> dict[str, pa.Array]:
     p, top, most = (np.zeros((n, 2)) for _ in range(3))
     keep, known = full.copy(), model.thresholds if model is not None else dict.fromkeys(TASKS)
     if model is not None and full.any():
-        p[full], top[full], most[full] = scores(model, model.words(h), begin, np.append(doc[:-1][full], doc[-1]), style)
+        p[full], top[full], most[full] = scores(model, *model.known(model.words(h), begin), np.diff(begin), np.append(doc[:-1][full], doc[-1]), style)
         if known["quality"] is not None:
             keep &= p[:, 0] >= known["quality"]
         if known["toxic"] is not None:
