@@ -9,6 +9,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def session(master: str = "local[*]", conf: dict[str, str] | None = None) -> SparkSession:
+    """A session for tests and the bench; on a cluster the submitted configuration is used instead."""
+    own = {"spark.sql.shuffle.partitions": "8", "spark.sql.session.timeZone": "UTC", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"}
+    return SparkSession.builder.master(master).appName("quire").config(map=own | (conf or {})).getOrCreate()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
