@@ -122,7 +122,7 @@ def lines(spark, sf):
 LINES = f"""WITH q AS (SELECT *, "at" AS ay, (bt - "at") / 100.0 AS rise, (bl - al) / 100.0 AS run, "at" + ah AS ab, bt + bh AS bb FROM ({PAIRS_SQL})),
 t AS (SELECT *, CASE WHEN ab <= bb THEN al ELSE bl END AS tx, CASE WHEN ab <= bb THEN aw ELSE bw END AS tw, CASE WHEN ab <= bb THEN bl ELSE al END AS bx, CASE WHEN ab <= bb THEN bw ELSE aw END AS bw2_, least(ab, bb) AS ty, greatest(ab, bb) AS by_ FROM q),
 g AS (SELECT *, atan2((by_ - ty) / 100.0, (tx - bx) / 100.0) AS la, pi() - atan2((by_ - ty) / 100.0, (tx + tw - bx - bw2_) / 100.0) AS ra, atan2(rise, run) - pi() * floor((atan2(rise, run) + pi() / 2) / pi()) AS fa FROM t)
-SELECT l_orderkey, l_linenumber, rise, run, round(atan2(rise, run), 6) AS angle, round(sqrt(run * run + rise * rise), 6) AS length, CASE WHEN run <> 0 THEN round(rise / run, 6) END AS slope,
+SELECT l_orderkey, l_linenumber, rise, run, round(atan2(rise, run), 6) AS angle, round(sqrt(run * run + rise * rise), 6) AS length, CASE WHEN run <> 0 THEN round(rise / run, 6) + 0.0 END AS slope,
   CAST(trunc((al + bl) / 2.0) AS INTEGER) AS centre_x, least(al, bl) AS bl2, abs(al - bl) AS bw2, least(greatest(al, bl), al + aw) AS clip_x2, least(greatest(ay, bt), ay + ah) AS clip_y2,
   CASE WHEN least(al, bl) < al + 300 AND al + 300 < greatest(al, bl) THEN al + 300 END AS half_x, round(atan2((ay - bt) / 100.0, run), 6) AS up_angle, ty AS top_y, greatest(tx + tw, bx + bw2_) - least(tx, bx) AS trap_w,
   CASE WHEN la BETWEEN pi() / 2 - 0.08 AND pi() / 2 + 0.08 THEN 'Right' WHEN la < pi() / 2 THEN 'Acute' ELSE 'Obtuse' END AS left_class,

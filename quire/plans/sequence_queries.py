@@ -322,7 +322,7 @@ def times_and_json(spark, sf):
     return _events(spark, sf).select("event_id", text.millis(F.col("ts")).alias("millis"), text.stamp(F.col("ts")).alias("stamp"), F.get_json_object("props", "$.k").alias("k"), (text.instant(text.millis(F.col("ts"))) == F.date_trunc("millisecond", "ts")).alias("round_trip"), props.isNotNull().alias("parsed"))
 
 
-TIMES_AND_JSON = "SELECT event_id, epoch_ms(ts) AS millis, strftime(ts, '%Y-%m-%d %H:%M:%S.%g') AS stamp, props ->> '$.k' AS k, true AS round_trip, props IS NOT NULL AS parsed FROM events"
+TIMES_AND_JSON = "SELECT event_id, epoch_us(ts) // 1000 AS millis, strftime(ts, '%Y-%m-%d %H:%M:%S.%g') AS stamp, props ->> '$.k' AS k, true AS round_trip, props IS NOT NULL AS parsed FROM events"
 
 
 def arrays(spark, sf):
