@@ -25,6 +25,7 @@ import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from quire.llm.common import chunks, column, lists, slim, strings
 
@@ -262,16 +263,18 @@ def encode(docs: DataFrame, ranks: Broadcast, key: str = "doc_id", text: str = "
 def decode(tokens: DataFrame, ranks: Broadcast, ids: str = "token_ids", to: str = "text") -> DataFrame:
     """The columns of ``tokens`` and the text of its token ids; a column already named ``to`` is replaced."""
     tokens = column(tokens, ids, "array<int>").drop(to)
-    schema = ", ".join(f"`{c}` {t}" for c, t in tokens.dtypes) + f", `{to}` string"
+    place = tokens.columns.index(ids)
+    plain = tokens.toDF(*(f"c{i}" for i in range(len(tokens.columns))))
+    schema = StructType([*plain.schema.fields, StructField("decoded", StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(ranks)
         for batch in batches:
             for at in range(0, max(batch.num_rows, 1), 512):
                 part = batch.slice(at, 512)
-                yield pa.RecordBatch.from_arrays([*part.columns, encoder.decode(part.column(part.schema.get_field_index(ids)))], [*part.schema.names, to])
+                yield pa.RecordBatch.from_arrays([*part.columns, encoder.decode(part.column(place))], schema.names)
 
-    return tokens.mapInArrow(run, schema)
+    return plain.mapInArrow(run, schema).toDF(*tokens.columns, to)
 
 
 def round_trip(docs: DataFrame, ranks: Broadcast) -> DataFrame:

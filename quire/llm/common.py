@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -62,6 +62,12 @@ def slim(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     return df.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
 
 
+def rows_mapped(docs: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """``docs`` through a function of Arrow batches that goes by position and keeps the columns, whatever their names."""
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+
+
 # --- Arrow -------------------------------------------------------------------------------
 
 
@@ -69,16 +75,16 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Offsets (n + 1) and UTF-8 bytes; a null counts as an empty text."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
     _, off, data = texts.buffers()
     off = np.frombuffer(off, np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
     data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     return off - off[0], data[off[0] : off[-1]]
 
 
-def chunks(batch: pa.RecordBatch, text: str = "text") -> Iterator[pa.RecordBatch]:
-    """Slices of at most CHUNK_ROWS rows and, but for single longer texts, CHUNK_BYTES bytes."""
-    off, _ = raw(batch.column(batch.schema.get_field_index(text)))
+def chunks(batch: pa.RecordBatch, text: str | int = "text") -> Iterator[pa.RecordBatch]:
+    """Slices of at most CHUNK_ROWS rows and, but for single longer texts, CHUNK_BYTES bytes of the column named ``text`` or at that place."""
+    off, _ = raw(batch.column(batch.schema.get_field_index(text) if isinstance(text, str) else text))
     at, n = 0, batch.num_rows
     while at < n:
         to = int(np.searchsorted(off, off[at] + CHUNK_BYTES, "right")) - 1

@@ -383,7 +383,7 @@ def deduplicated(docs: DataFrame, **parameters) -> DataFrame:
     n = marks.count()
     hint = F.broadcast(marks) if n <= BROADCAST_ROWS else marks
     joined = docs.join(hint, docs["doc_id"].cast("bigint").eqNullSafe(hint["__id"]) & (F.xxhash64(docs["text"].cast("string")) == hint["__h"]), "left")
-    own = [docs[c] for c in docs.columns]
+    own = [docs[f"`{c}`"] for c in docs.columns]
     kept = joined.filter(hint["__best"].isNull()).select(*own)
     if marks.filter("__best = 1").limit(1).count():
         again = joined.filter(hint["__best"] == 1).select(F.struct(*own).alias("row"), hint["__id"].alias("i"), hint["__h"].alias("h"))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import U64, chunks, hashes, lists, lowered, offsets, raw, slim, spans, sums
+from quire.llm.common import U64, chunks, hashes, lists, lowered, offsets, raw, rows_mapped, slim, spans, sums
 from quire.llm.quality_rules import DIGIT, FILLER, MARK, SYMBOL, UPPER, labelled_sample
 
 PASSAGE = 64
@@ -299,4 +299,4 @@ def kept(docs: DataFrame, model: Model | None) -> DataFrame:
             if keep:
                 yield batch.filter(pa.concat_arrays(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return rows_mapped(docs, run)

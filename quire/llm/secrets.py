@@ -27,7 +27,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from quire.llm.common import chunks, raw, slim, spans, strings
+from quire.llm.common import chunks, raw, rows_mapped, slim, spans, strings
 
 LITERAL = 4
 MIN_LENGTH = 16
@@ -325,7 +325,7 @@ def redacted(docs: DataFrame, scanner: Scanner) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch):
+            for part in chunks(batch, at):
                 text, any_ = redact(part.column(at).cast(pa.string()), sent.value)
                 if not any_:
                     yield part
@@ -337,7 +337,7 @@ def redacted(docs: DataFrame, scanner: Scanner) -> DataFrame:
                 columns[at] = text.cast(part.schema.field(at).type)
                 yield pa.RecordBatch.from_arrays(columns, schema=part.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return rows_mapped(docs, run)
 
 
 def scanner() -> Scanner:

@@ -1,0 +1,80 @@
+import hashlib
+import re
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from quire.llm import secrets
+
+
+@pytest.fixture(scope="module")
+def scanner():
+    return secrets.scanner()
+
+
+def spelled(scanner, s):
+    """Best format and score of one string, symbol by symbol."""
+    kinds = [int(secrets.KIND[ord(c)]) for c in s]
+    usual = scanner.start[kinds[0]] + sum(scanner.follow[a, b] for a, b in zip(kinds, kinds[1:], strict=False)) + scanner.finish[kinds[-1]]
+    best = []
+    for a in scanner.automata:
+        state, like = 0, 0.0
+        for x in secrets.symbols(s):
+            like += a.log[state, x]
+            state = a.to[state, x]
+        best.append((like + a.end[state] - usual) / len(s))
+    return int(np.argmax(best)), max(best)
+
+
+def candidates(text):
+    for m in re.finditer(r"[0-9A-Za-z_\-+/=.]{16,}", text):
+        core = re.search(r"[0-9A-Za-z](?:.*[0-9A-Za-z])?", m.group(), re.S)
+        if core and len(core.group()) >= secrets.MIN_LENGTH:
+            yield len(text[: m.start() + core.start()].encode()), core.group()
+
+
+def test_the_whole_table_against_scoring_each_candidate(small, scanner):
+    docs = small("documents")
+    want = set()
+    for r in docs.collect():
+        for at, s in candidates(r["text"]):
+            k, score = spelled(scanner, s)
+            if score > scanner.threshold:
+                want.add((r["doc_id"], at, len(s), scanner.names[k], round(score, 6), hashlib.md5(s.encode()).hexdigest()))
+    assert {(*r[:4], round(r[4], 6), r[5]) for r in secrets.scanned(docs, scanner).collect()} == want
+
+
+def test_every_planted_token_is_found_and_nothing_else(spark, scanner):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want = {(r["doc_id"], hashlib.md5(m.encode()).hexdigest()) for r in docs.collect() for m in re.findall(r'token = "([0-9a-f]{40})"', r["text"])}
+    assert want and {(r["doc_id"], r["secret_md5"]) for r in secrets.scanned(docs, scanner).collect()} == want
+
+
+def test_held_out_credentials_and_ordinary_strings(scanner):
+    rows = secrets.labelled_credentials(200, seed=91)
+    hit = [bool(len(scanner.find(pa.array([f"my: {s} ."]))[0])) for s, _ in rows]
+    secret = np.array([k is not None for _, k in rows])
+    assert np.mean(np.array(hit)[secret]) > 0.97
+    assert np.mean(np.array(hit)[~secret]) < 0.01
+
+
+def test_states_are_merged(scanner):
+    for name, a in zip(scanner.names, scanner.automata, strict=True):
+        assert len(a.red) < len(a.next), name
+
+
+def test_redaction_takes_out_what_was_found_and_no_more(spark, scanner):
+    key = "0123456789abcdef0123456789abcdef01234567"
+    docs = spark.createDataFrame([(1, f"é {key} ü\n{key}", 9, 1.5), (2, "plain", 5, 2.0), (3, None, None, None)], "doc_id bigint, text string, n_chars int, score double")
+    assert [tuple(r) for r in secrets.redacted(docs, scanner).orderBy("doc_id").collect()] == [(1, "é [SECRET] ü\n[SECRET]", 21, 1.5), (2, "plain", 5, 2.0), (3, None, None, None)]
+
+
+def test_odd_rows(odd, nothing, scanner):
+    assert secrets.scanned(odd, scanner).count() == 0
+    assert sorted(map(repr, secrets.redacted(odd, scanner).collect())) == sorted(map(repr, odd.collect()))
+    assert secrets.scanned(nothing, scanner).count() == secrets.redacted(nothing, scanner).count() == 0
+
+
+def test_without_labels_nothing_is_found(small):
+    assert secrets.scanned(small("documents"), secrets.train([])).count() == 0
