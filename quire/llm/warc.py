@@ -45,7 +45,7 @@ def record(page_id: int | None, uri: str | None, payload: bytes | None) -> bytes
     head = {
         "WARC-Type": "resource",
         "WARC-Record-ID": f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {uri} {digest}')}>",
-        "WARC-Target-URI": None if uri is None else quote(uri, safe="/:?#[]@!$&'()*+,;=%~") if "%" not in uri else "raw:" + quote(uri, safe=""),
+        "WARC-Target-URI": None if uri is None else quote(uri, safe="/:?#[]@!$&'()*+,;=%~") if "%" not in uri and not uri.startswith("raw:") else "raw:" + quote(uri, safe=""),
         "WARC-Date": "1970-01-01T00:00:00Z",
         "WARC-Payload-Digest": f"sha1:{digest}",
         "Content-Type": "text/html",
