@@ -147,6 +147,8 @@ def write_monolithic(pages: DataFrame, folder: str, key: str = "page_id", uri: s
 def normalise(files: DataFrame, folder: str, level: int = LEVEL) -> DataFrame:
     """Rewrites each file that ``files`` names in column ``file`` and returns the index as a written table, a row for each record."""
     n = max(1, files.count())
+    fs, at = _fs(folder)
+    fs.create_dir(at, recursive=True)  # without any files its index is empty
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,7 +188,7 @@ SCHEMA = pa.schema([(x.split()[0], {"string": pa.string(), "bigint": pa.int64()}
 
 def read_index(spark, folder: str) -> DataFrame:
     """The sidecar indexes of a folder of rewritten files."""
-    return spark.read.schema(INDEX).json(f"{folder}/*.idx")
+    return spark.read.schema(INDEX).option("pathGlobFilter", "*.idx").json(folder)
 
 
 def read_records(index: DataFrame) -> DataFrame:
