@@ -7,7 +7,9 @@ the first LITERAL places and their kinds after that. Every run of credential cha
 MIN_LENGTH, wherever it stands in a text, is a candidate and is scored by the log-likelihood a
 character of the format that fits it best, less that under an automaton-free model of ordinary
 strings. What scores above a threshold set between the labelled credentials and the labelled
-ordinary strings is a secret.
+ordinary strings is a secret. In a run that is none as a whole, as in ``KEY=value`` and URLs, so are
+its parts that begin after a mark and end at one: each start is followed until it fits no format and
+is not above the threshold, and of parts that overlap the one of the largest likelihood ratio stays.
 
 Null and empty texts have none. Texts are scanned whole. Candidates of one text may repeat: each is
 its own row. Equal scores of two formats go to the first in the order of their names. Repeated rows
@@ -230,25 +232,82 @@ class Scanner:
         ratio = (like - usual) / size
         return ratio.argmax(0) if len(self.automata) else np.zeros(n, int), ratio.max(0) if len(self.automata) else np.full(n, -np.inf)
 
+    def within(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For each start the end, a place marked in ``stop`` and not after ``ends``, of the largest likelihood ratio among those that score above the threshold: which start, the end, format and score."""
+        n = starts.size
+        usual, last = np.zeros(n), np.full(n, -1)
+        like = np.zeros((len(self.automata), n))
+        state = np.zeros((len(self.automata), n), np.int64)
+        sink = np.array([len(a.red) for a in self.automata])[:, None]
+        best, to, which, score = np.full(n, -np.inf), np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n)
+        live, i = np.flatnonzero(starts < ends), 0
+        while live.size and self.automata:
+            at = starts[live] + i
+            kind = KIND[data[at]]
+            symbol = len(KINDS) + data[at].astype(np.int64) if i < LITERAL else kind
+            usual[live] += np.where(last[live] < 0, self.start[kind], self.follow[last[live], kind])
+            last[live] = kind
+            for k, a in enumerate(self.automata):
+                like[k, live] += a.log[state[k, live], symbol]
+                state[k, live] = a.to[state[k, live], symbol]
+            i += 1
+            here = live[stop[at + 1]] if i >= MIN_LENGTH else live[:0]
+            if here.size:
+                ended = np.stack([like[k, here] + a.end[state[k, here]] for k, a in enumerate(self.automata)]) - usual[here] - self.finish[last[here]]
+                total = ended.max(0)
+                better = (total / i > self.threshold) & (total > best[here])
+                won = here[better]
+                best[won], to[won], which[won], score[won] = total[better], starts[won] + i, ended.argmax(0)[better], total[better] / i
+            going = starts[live] + i < ends[live]
+            # what fits no format any more and has lost its lead isn't followed further
+            live = live[going & ((state[:, live] != sink).any(0) | ((like[:, live].max(0) - usual[live]) / i > self.threshold))]
+        hit = np.flatnonzero(best > -np.inf)
+        return hit, to[hit], which[hit], score[hit]
+
     def find(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Row, first and last byte, format and score of each secret."""
         off, data = raw(texts)
         starts, ends, rows = spans(off, data, CREDENTIAL)
-        # marks around a candidate aren't of it
-        inner = np.zeros(256, bool)
-        inner[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
         long = ends - starts >= MIN_LENGTH
         starts, ends, rows = starts[long], ends[long], rows[long]
-        edge = np.concatenate([[0], np.cumsum(inner[data])]) if data.size else np.zeros(1, int)
+        inner = np.zeros(256, bool)
+        inner[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+        solid = inner[data]
+        edge = np.concatenate([[0], np.cumsum(solid)])
         some = edge[ends] > edge[starts]
         starts, ends, rows = starts[some], ends[some], rows[some]
-        solid = np.flatnonzero(inner[data])
-        starts, ends = solid[edge[starts]], solid[edge[ends] - 1] + 1
-        long = ends - starts >= MIN_LENGTH
-        starts, ends, rows = starts[long], ends[long], rows[long]
-        k, score = self.score(data, starts, ends)
+        # a whole run, without the marks around it
+        at = np.flatnonzero(solid)
+        a, b = at[edge[starts]], at[edge[ends] - 1] + 1
+        long = b - a >= MIN_LENGTH
+        starts, ends, rows, a, b = starts[long], ends[long], rows[long], a[long], b[long]
+        k, score = self.score(data, a, b)
         hit = score > self.threshold
-        return rows[hit], starts[hit] - off[rows[hit]], ends[hit] - off[rows[hit]], k[hit], score[hit]
+        found = [(rows[hit], a[hit], b[hit], k[hit], score[hit])]
+        # in the other runs, whatever begins after a mark and ends before or after one
+        starts, ends, rows = starts[~hit], ends[~hit], rows[~hit]
+        stop = np.ones(data.size + 1, bool)
+        stop[1:-1] = ~(solid[:-1] & solid[1:])
+        stop[off] = True
+        first = solid & stop[:-1]
+        count, at = np.concatenate([[0], np.cumsum(first)]), np.flatnonzero(first)
+        each = count[ends] - count[starts]
+        run = np.repeat(np.arange(starts.size), each)
+        begins = at[np.repeat(count[starts] - np.cumsum(each) + each, each) + np.arange(run.size)]
+        enough = ends[run] - begins >= MIN_LENGTH
+        run, begins = run[enough], begins[enough]
+        of, to, k, score = self.within(data, begins, ends[run], stop)
+        a, taken, chosen = begins[of], np.zeros(data.size, bool), []
+        for j in np.lexsort((a, -score * (to - a))):
+            if not taken[a[j] : to[j]].any():
+                taken[a[j] : to[j]] = True
+                chosen.append(j)
+        chosen = np.array(chosen, np.int64)
+        found.append((rows[run[of[chosen]]], a[chosen], to[chosen], k[chosen], score[chosen]))
+        rows, a, b, k, score = (np.concatenate(c) for c in zip(*found, strict=True))
+        order = np.argsort(a, kind="stable")
+        rows, a, b, k, score = rows[order], a[order], b[order], k[order], score[order]
+        return rows, a - off[rows], b - off[rows], k, score
 
 
 def train(labelled: list[tuple[str, str | None]], sample: int = SAMPLE) -> Scanner:

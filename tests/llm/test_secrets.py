@@ -59,6 +59,25 @@ def test_held_out_credentials_and_ordinary_strings(scanner):
     assert np.mean(np.array(hit)[~secret]) < 0.01
 
 
+@pytest.mark.parametrize(("before", "after"), [("token=", ""), ("API_KEY=", "\n"), ("https://a.example.com/x?key=", "&b=1"), ("/srv/path/", "/raw/file.txt"), ("name.", ".json"), ("old-", "-new"), ("see_", "_it"), ("a+", "+b")])
+def test_credentials_joined_to_other_words_by_marks(scanner, before, after):
+    rows = secrets.labelled_credentials(40, seed=92)
+    found = scanner.find(pa.array([before + s + after for s, _ in rows]))
+    secret = np.array([k is not None for _, k in rows])
+    hit = np.isin(np.arange(len(rows)), found[0])
+    assert hit[secret].mean() > 0.97 and hit[~secret].mean() < 0.02
+    exact = {(int(r), int(x), int(y)) for r, x, y, *_ in zip(*found, strict=True)}
+    fixed = [i for i, (_, k) in enumerate(rows) if k in ("access_key_id", "forge_token", "payment_key")]
+    if before == "token=":
+        assert all((i, len(before), len(before + rows[i][0])) in exact for i in fixed)
+
+
+def test_two_credentials_of_one_run_and_a_long_run_without_any(scanner):
+    key = "0123456789abcdef0123456789abcdef01234567"
+    text, any_ = secrets.redact(pa.array([f"a={key}/b={key}", "x/" * 50_000]), scanner)
+    assert any_ and text.to_pylist() == ["a=[SECRET]/b=[SECRET]", "x/" * 50_000]
+
+
 def test_states_are_merged(scanner):
     for name, a in zip(scanner.names, scanner.automata, strict=True):
         assert len(a.red) < len(a.next), name
