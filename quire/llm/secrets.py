@@ -55,7 +55,8 @@ def labelled_credentials(n: int = 300, seed: int = 3) -> list[tuple[str, str | N
     any_of = lambda s, k: "".join(r.choice(s) for _ in range(k))
     word = lambda: any_of(LOWER, r.randint(2, 12))
     shapes = {
-        "hex_digest_token": lambda: any_of(HEX, r.choice((32, 40, 40, 64))),
+        "hex_digest_token": lambda: any_of(HEX, r.choice((32, 40, 40, 56, 64, 96, 128))),
+        "upper_hex_digest_token": lambda: any_of(HEX.upper(), r.choice((32, 40, 40, 56, 64, 96, 128))),
         "access_key_id": lambda: r.choice(("AKIA", "ASIA")) + any_of(UPPER + "234567", 16),
         "forge_token": lambda: r.choice(("ghp_", "gho_", "ghs_")) + any_of(LOWER + UPPER + DIGITS, 36),
         "payment_key": lambda: r.choice(("sk_", "rk_")) + r.choice(("live_", "test_")) + any_of(LOWER + UPPER + DIGITS, 24),

@@ -59,6 +59,20 @@ def test_held_out_credentials_and_ordinary_strings(scanner):
     assert np.mean(np.array(hit)[~secret]) < 0.01
 
 
+def test_planted_tokens_of_either_case_are_found_and_nothing_else(spark, scanner):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    want = {(r["doc_id"], hashlib.md5(m.encode()).hexdigest()) for r in docs.collect() for m in re.findall(r'token = "([0-9a-f]{40})"', r["text"] or "", re.I)}
+    assert {2514, 8743} <= {k for k, _ in want}
+    assert {(r["doc_id"], r["secret_md5"]) for r in secrets.scanned(docs, scanner).collect()} == want
+
+
+def test_digests_of_usual_lengths_and_either_case(scanner):
+    digests = [f(str(i).encode()).hexdigest() for i in range(20) for f in (hashlib.md5, hashlib.sha1, hashlib.sha224, hashlib.sha256, hashlib.sha384, hashlib.sha512)]
+    texts = digests + [d.upper() for d in digests]
+    rows, a, b, _, _ = scanner.find(pa.array([f"id {t} ." for t in texts]))
+    assert [(int(r), int(x), int(y)) for r, x, y in zip(rows, a, b, strict=True)] == [(i, 3, 3 + len(t)) for i, t in enumerate(texts)]
+
+
 @pytest.mark.parametrize(("before", "after"), [("token=", ""), ("API_KEY=", "\n"), ("https://a.example.com/x?key=", "&b=1"), ("/srv/path/", "/raw/file.txt"), ("name.", ".json"), ("old-", "-new"), ("see_", "_it"), ("a+", "+b")])
 def test_credentials_joined_to_other_words_by_marks(scanner, before, after):
     rows = secrets.labelled_credentials(40, seed=92)
