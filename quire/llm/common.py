@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs as pfs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +50,11 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def file_system(path: str) -> tuple[pfs.FileSystem, str]:
+    """File system and path in it, in any task, of a path or URI as Spark takes them."""
+    return pfs.FileSystem.from_uri(path if "://" in path or not path.startswith("file:") else "file://" + path[5:])
+
+
 def column(df: DataFrame, name: str, kind: str) -> DataFrame:
     """``df`` must have ``name``; a void or otherwise typed column is cast to ``kind``."""
     if name not in df.columns:
@@ -105,14 +111,16 @@ def strings(off: np.ndarray, data: np.ndarray) -> pa.Array:
 def blobs(values: np.ndarray, off: np.ndarray) -> pa.Array:
     """Binary column whose row i holds ``values[off[i]:off[i + 1]]``."""
     values = np.ascontiguousarray(values)
+    if values.nbytes >= 1 << 31:
+        raise ValueError("over 2 GB in the blobs of one batch")
     return pa.BinaryArray.from_buffers(pa.binary(), len(off) - 1, [None, pa.py_buffer((np.asarray(off, np.int64) * values.itemsize).astype(np.int32)), pa.py_buffer(values)])
 
 
 def unblob(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
     """All values of a binary column in one array, and its offsets."""
+    column = column.cast(pa.large_binary())
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.cast(pa.large_binary())
     _, off, data = column.buffers()
     off = np.frombuffer(off, np.int64)[column.offset : column.offset + len(column) + 1]
     size = np.dtype(kind).itemsize

@@ -9,11 +9,14 @@ share a rare token, or two tokens of one frequent class, among their prefixes. R
 indexed singly and frequent ones by pairs within their class, so a passage in many documents alone
 makes no candidates where rarer tokens cover the prefix. The prefix is extended until it is covered.
 
-1. Documents -> blobs of token fingerprints by range of fingerprint (one shuffle of 6 bytes a token).
+1. Documents -> per chunk of rows its distinct token fingerprints with their counts, by range of
+   fingerprint, and which documents have them (one shuffle of about 6 bytes a token). Counts are summed
+   within a chunk first, so a token in every document makes one entry a chunk and no hot group.
 2. Per range: frequency of every token over the whole corpus; tokens of one document are dropped, as
    no partner has them (their number stays known).
 3. Per document: those where too few tokens are shared to have a partner end here.
-4. Prefixes -> index entries -> candidate families, each a component of "has an index entry in common".
+4. Prefixes -> index entries -> candidate families, each a component of "has an index entry in common";
+   an entry goes out once a batch of documents, the others of the batch being tied to its first.
 5. Per family: Jaccard of the real token sets, exact; a pair already in one group needn't be compared.
    Families of over BLOCK documents are compared block against block in many tasks.
 6. Groups: components of the pairs found. Equal token sets are compared as one.
@@ -26,15 +29,19 @@ Extra columns are ignored. There are no limits on text length, partners or candi
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset as pads
+import pyarrow.fs as pfs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import U64, blobs, chunks, hashes, lowered, mix, offsets, raw, scratch_path, slim, spans, unblob, written
+from quire.llm.common import U64, blobs, chunks, column, file_system, hashes, lowered, mix, offsets, raw, scratch_path, spans, unblob, written
 from quire.llm.components import components
 
 N = 3
@@ -92,7 +99,7 @@ def distinct(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _tokenised(docs: DataFrame, n: int, bits: int) -> DataFrame:
-    """Per chunk of rows: a blob of token fingerprints for each range, and a row of the documents' ids and sizes (range < 0)."""
+    """Per chunk of rows: a blob of its distinct token fingerprints and their counts for each range, and one row (range < 0) of the documents' ids and sizes and of which documents have each fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = TaskContext.get().partitionId() << 20
@@ -108,65 +115,93 @@ def _tokenised(docs: DataFrame, n: int, bits: int) -> DataFrame:
                 size = np.bincount(rows, minlength=part.num_rows).astype(np.int32)
                 order = np.argsort(fp, kind="stable")
                 rows, fp = rows[order].astype(np.uint16), fp[order]
+                new = np.ones(fp.size, bool)
+                new[1:] = fp[1:] != fp[:-1]
+                first = np.flatnonzero(new)
+                fp, count = fp[first], np.diff(np.append(first, rows.size)).astype(np.uint16)
                 off = np.searchsorted(fp >> U64(32), np.arange((1 << bits) + 1, dtype=U64))
                 full = np.flatnonzero(np.diff(off))
                 cut = np.append(off[full], off[-1])
-                ids = np.concatenate([np.asarray(part["doc_id"].fill_null(0)), np.asarray(part["h"].fill_null(0)), np.asarray(part["doc_id"].is_valid().cast(pa.int64()))])
+                ids = np.concatenate([np.asarray(part[c].fill_null(0)).astype(np.int64) for c in ("doc_id", "h", "file", "row")] + [np.asarray(part["doc_id"].is_valid()).astype(np.int64)])
+                own = np.concatenate([size.view(np.uint8), rows.view(np.uint8), np.packbits(new)])
                 k = len(full) + 1
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.append(full, -1 - chunk % (1 << bits)), pa.int32()),
                         pa.array(np.full(k, chunk), pa.int64()),
+                        pa.array(np.append(np.diff(cut), 0), pa.int32()),
                         pa.concat_arrays([blobs(fp.astype(np.uint32), cut), blobs(ids, np.array([0, ids.size]))]),
-                        pa.concat_arrays([blobs(rows, cut), blobs(size, np.array([0, size.size]))]),
+                        pa.concat_arrays([blobs(count, cut), blobs(own, np.array([0, own.size]))]),
                     ],
-                    ["range", "chunk", "keys", "rows"],
+                    ["range", "chunk", "n", "keys", "rows"],
                 )
                 chunk += 1
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInArrow(run, "range int, chunk bigint, keys binary, rows binary")
+    return docs.mapInArrow(run, "range int, chunk bigint, n int, keys binary, rows binary")
+
+
+def frequency_code(df: np.ndarray) -> np.ndarray:
+    """A byte that grows with the number of documents: exact to 127, then in steps of a fifth."""
+    return np.where(df < 128, df, 128 + np.floor(3.5 * np.log2(np.maximum(df, 128) / 128))).astype(np.uint8)
 
 
 def _frequent(blobs_: DataFrame) -> DataFrame:
-    """The same, with the number of documents of each token (255 for more), without tokens of one document."""
-    schema = pa.schema([("range", pa.int32()), ("chunk", pa.int64()), ("keys", pa.binary()), ("rows", pa.binary()), ("dfs", pa.binary())])
+    """The same by the chunk's fingerprints that over one document of the corpus has: those, which they are (a bit each), and the code of their number of documents.
+
+    A group has each fingerprint once a chunk, so one that every document has makes it no larger than the number of chunks.
+    """
+    schema = pa.schema([("range", pa.int32()), ("chunk", pa.int64()), ("n", pa.int32()), ("keys", pa.binary()), ("rows", pa.binary()), ("dfs", pa.binary())])
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
         if table["range"][0].as_py() < 0:
             return table.append_column("dfs", pa.nulls(table.num_rows, pa.binary())).cast(schema)
         keys, off = unblob(table["keys"], np.uint32)
-        rows, _ = unblob(table["rows"], np.uint16)
+        count, _ = unblob(table["rows"], np.uint16)
         order = np.argsort(keys)
         new = np.ones(keys.size, bool)
         new[1:] = keys[order][1:] != keys[order][:-1]
         which = np.cumsum(new) - 1
         df = np.empty(keys.size, np.int64)
-        df[order] = np.bincount(which)[which]
+        df[order] = np.bincount(which, count[order]).astype(np.int64)[which]
         kept = df > 1
         cut = np.concatenate([[0], np.cumsum(kept)])[off]
-        return pa.Table.from_arrays([table["range"], table["chunk"], blobs(keys[kept], cut), blobs(rows[kept], cut), blobs(np.minimum(df[kept], 255).astype(np.uint8), cut)], schema=schema)
+        n = np.diff(off)
+        begin = np.concatenate([[0], np.cumsum((n + 7) // 8)])
+        bits = np.zeros(begin[-1] * 8, bool)
+        bits[np.arange(keys.size) + np.repeat(begin[:-1] * 8 - off[:-1], n)] = kept
+        return pa.Table.from_arrays([table["range"], table["chunk"], table["n"], blobs(keys[kept], cut), blobs(np.packbits(bits), begin), blobs(frequency_code(df[kept]), cut)], schema=schema)
 
-    return blobs_.groupBy("range").applyInArrow(run, "range int, chunk bigint, keys binary, rows binary, dfs binary")
+    return blobs_.groupBy("range").applyInArrow(run, "range int, chunk bigint, n int, keys binary, rows binary, dfs binary")
 
 
-SURVIVOR = "uid bigint, doc_id bigint, h bigint, size int, k1 bigint, k2 bigint, grams binary, dfs binary"
+SURVIVOR = "uid bigint, doc_id bigint, h bigint, file bigint, row bigint, size int, k1 bigint, k2 bigint, grams binary, dfs binary"
 
 
 def _survivors(found: DataFrame, t: float) -> DataFrame:
     """Documents that share tokens enough to have a partner: their shared tokens, ascending, and a key that equal token sets share."""
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
         ranges = np.asarray(table["range"])
         meta = int(np.flatnonzero(ranges < 0)[0])
-        ids = np.frombuffer(table["keys"][meta].as_py(), np.int64).reshape(3, -1)
-        size = np.frombuffer(table["rows"][meta].as_py(), np.int32).astype(np.int64)
-        rest = table.filter(pa.array(ranges >= 0))
+        ids = np.frombuffer(table["keys"][meta].as_py(), np.int64).reshape(5, -1)
+        own = np.frombuffer(table["rows"][meta].as_py(), np.uint8)
+        size = own[: 4 * ids.shape[1]].view(np.int32).astype(np.int64)
+        own, total = own[4 * ids.shape[1] :], int(size.sum())
+        rows = own[: 2 * total].copy().view(np.uint16).astype(np.int64)
+        which = np.cumsum(np.unpackbits(own[2 * total :], count=total)) - 1
+        at = np.flatnonzero(ranges >= 0)
+        rest = table.take(pa.array(at[np.argsort(ranges[at])]))
         keys, off = unblob(rest["keys"], np.uint32)
-        rows = unblob(rest["rows"], np.uint16)[0].astype(np.int64)
         df = unblob(rest["dfs"], np.uint8)[0]
         fp = np.repeat(np.asarray(rest["range"]).astype(U64), np.diff(off)) << U64(32) | keys.astype(U64)
+        bits, byte = unblob(rest["rows"], np.uint8)
+        n = np.asarray(rest["n"]).astype(np.int64)
+        begin = np.concatenate([[0], np.cumsum(n)])
+        known = np.unpackbits(bits)[np.arange(begin[-1]) + np.repeat(byte[:-1] * 8 - begin[:-1], n)].astype(bool)
+        number = np.cumsum(known) - 1
+        here = known[which] if total else np.zeros(0, bool)
+        rows, which = rows[here], number[which[here]] if total else rows
+        fp, df = fp[which], df[which]
         shared = np.bincount(rows, minlength=size.size)
         alive = (size > 0) & (shared >= needed(size, t))
         kept = alive[rows]
@@ -183,8 +218,8 @@ def _survivors(found: DataFrame, t: float) -> DataFrame:
         a = np.flatnonzero(alive)
         cut = np.append(cut[a], cut[-1])
         return pa.Table.from_arrays(
-            [pa.array(uid[a]), pa.array(ids[0][a], mask=ids[2][a] == 0), pa.array(ids[1][a]), pa.array(size[a], pa.int32()), pa.array(k1[a]), pa.array(k2[a]), blobs(fp, cut), blobs(df, cut)],
-            ["uid", "doc_id", "h", "size", "k1", "k2", "grams", "dfs"],
+            [pa.array(uid[a]), pa.array(ids[0][a], mask=ids[4][a] == 0), *(pa.array(ids[i][a]) for i in (1, 2, 3)), pa.array(size[a], pa.int32()), pa.array(k1[a]), pa.array(k2[a]), blobs(fp, cut), blobs(df, cut)],
+            ["uid", "doc_id", "h", "file", "row", "size", "k1", "k2", "grams", "dfs"],
         )
 
     return found.groupBy("chunk").applyInArrow(run, SURVIVOR)
@@ -249,7 +284,7 @@ def signatures(rows: np.ndarray, fp: np.ndarray, df: np.ndarray, size: np.ndarra
 
 
 def _index(survivors: DataFrame, t: float, rare: int, bits: int) -> DataFrame:
-    """Blobs of index entries and the documents that have them, by range of entry."""
+    """Blobs of index entries and the first document of a batch that has each, by range of entry; the batch's other documents are tied to that one in rows of range < 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -259,28 +294,33 @@ def _index(survivors: DataFrame, t: float, rare: int, bits: int) -> DataFrame:
                 df, _ = unblob(part["dfs"], np.uint8)
                 rows = np.repeat(np.arange(part.num_rows), np.diff(off))
                 r, s = signatures(rows, fp, df, np.asarray(part["size"]).astype(np.int64), t, rare)
-                order = np.argsort(s, kind="stable")
-                r, s = np.asarray(part["uid"])[r[order]], s[order]
+                pairs, s, u = _tied(s, np.asarray(part["uid"])[r])
                 off = np.searchsorted(s >> U64(64 - bits), np.arange((1 << bits) + 1, dtype=U64)) if bits else np.array([0, s.size])
                 full = np.flatnonzero(np.diff(off))
                 cut = np.append(off[full], off[-1])
-                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), blobs(s, cut), blobs(r, cut)], ["range", "entries", "uids"])
+                own = -1 - int(part["uid"][0].as_py() % (1 << bits))
+                yield pa.RecordBatch.from_arrays([pa.array(np.append(full, own), pa.int32()), pa.concat_arrays([blobs(s, cut), blobs(pairs[:, 0], np.array([0, len(pairs)]))]), pa.concat_arrays([blobs(u, cut), blobs(pairs[:, 1], np.array([0, len(pairs)]))])], ["range", "entries", "uids"])
 
     return survivors.select("uid", "size", "grams", "dfs").mapInArrow(run, "range int, entries binary, uids binary")
 
 
+def _tied(s: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each document with the first that has an entry in common; the entries, ascending, and that first document of each."""
+    order = np.lexsort((u, s))
+    s, u = s[order], u[order]
+    new = np.ones(s.size, bool)
+    new[1:] = s[1:] != s[:-1]
+    least = u[np.maximum.accumulate(np.where(new, np.arange(s.size), 0))] if s.size else u
+    return np.unique(np.stack([u, least], 1)[u != least], axis=0), s[new], u[new]
+
+
 def _candidates(index: DataFrame) -> DataFrame:
     """Each document with the first document that has an index entry in common."""
 
     def run(table: pa.Table) -> pa.Table:
         s, _ = unblob(table["entries"], U64)
         u, _ = unblob(table["uids"], np.int64)
-        order = np.lexsort((u, s))
-        s, u = s[order], u[order]
-        new = np.ones(s.size, bool)
-        new[1:] = s[1:] != s[:-1]
-        least = u[np.maximum.accumulate(np.where(new, np.arange(s.size), 0))]
-        pairs = np.unique(np.stack([u, least], 1)[u != least], axis=0)
+        pairs = np.stack([s.view(np.int64), u], 1) if table["range"][0].as_py() < 0 else _tied(s, u)[0]
         return pa.Table.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], ["a", "b"])
 
     return index.groupBy("range").applyInArrow(run, "a bigint, b bigint").distinct()
@@ -352,19 +392,20 @@ def _verified(survivors: DataFrame, members: DataFrame, families: DataFrame, t:
 
 
 def near_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, rare: int = RARE, block: int = BLOCK, range_tokens: int = RANGE_TOKENS) -> DataFrame:
-    """``doc_id``, ``h`` (the text's hash), ``grp`` and ``uid`` of every row that has a partner; rows of one group share ``grp``."""
+    """``doc_id``, ``h`` (the text's hash), ``file`` and ``row`` (where the row stands, if ``docs`` is read from Parquet files), ``grp`` and ``uid`` of every row that has a partner; rows of one group share ``grp``."""
     if not 0.5 < threshold <= 1:
         raise ValueError("the threshold must be over 0.5 and at most 1")
-    docs = slim(docs)
+    file, row = _place(docs) or (F.lit(0).cast("bigint"), F.lit(0).cast("bigint"))
+    docs = column(column(docs, "doc_id", "bigint"), "text", "string").select("doc_id", "text", F.xxhash64("text").alias("h"), file.alias("file"), row.alias("row"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(0, int(np.ceil(np.log2(max(1, size / 6 / range_tokens)))))
     survivors = written(_survivors(_frequent(_tokenised(docs, n, bits)), threshold), "near-survivors")
     keys = survivors.groupBy("k1", "k2").agg(F.min("uid").alias("rep"))
-    members = written(survivors.select("uid", "doc_id", "h", "k1", "k2").join(keys, ["k1", "k2"]).select("uid", "doc_id", "h", "rep"), "near-members")
+    members = written(survivors.select("uid", "doc_id", "h", "file", "row", "k1", "k2").join(keys, ["k1", "k2"]).select("uid", "doc_id", "h", "file", "row", "rep"), "near-members")
     families = written(components(written(_candidates(_index(survivors, threshold, rare, bits)), "near-candidates")), "near-families")
     ties = components(written(_verified(survivors, members, families, threshold, block), "near-pairs"))
     labelled = members.join(ties.withColumnRenamed("node", "rep"), "rep", "left").withColumn("grp", F.coalesce("component", "rep"))
-    return written(labelled.select("doc_id", "h", "grp", "uid"), "near-groups")
+    return written(labelled.select("doc_id", "h", "file", "row", "grp", "uid"), "near-groups")
 
 
 def groups(docs: DataFrame, **parameters) -> DataFrame:
@@ -374,19 +415,66 @@ def groups(docs: DataFrame, **parameters) -> DataFrame:
     return found.join(sizes, "grp").select("doc_id", "group_id", "group_size")
 
 
+def _place(docs: DataFrame) -> tuple[Column, Column] | None:
+    """Hash of the file and number of the row in it, if the rows of ``docs`` come straight from Parquet files."""
+    place = F.xxhash64("_metadata.file_path"), F.col("_metadata.row_index")
+    if "_metadata" in docs.columns:
+        return None
+    try:
+        docs.select(*place)
+    except AnalysisException:
+        return None
+    return place
+
+
+def _without(docs: DataFrame, gone: DataFrame, n: int) -> DataFrame:
+    """``docs`` without the ``n`` rows whose place is in ``gone``; no row is moved: a task reads the places of its own files."""
+    file, row = _place(docs)
+    placed = docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))).withColumns({"file": file, "row": row})
+    if n <= BROADCAST_ROWS:
+        return placed.join(F.broadcast(gone), ["file", "row"], "left_anti").drop("file", "row").toDF(*docs.columns)
+    buckets, path = math.ceil(n / BROADCAST_ROWS), scratch_path(docs.sparkSession, "near-gone")
+    gone.withColumn("bucket", F.pmod("file", F.lit(buckets))).repartition(buckets, "bucket").sortWithinPartitions("file", "row").write.partitionBy("bucket").parquet(path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, at = file_system(path)
+        last, rows = None, np.zeros(0, np.int64)
+        for batch in batches:
+            file, row = np.asarray(batch["file"]), np.asarray(batch["row"])
+            keep = np.ones(batch.num_rows, bool)
+            for f in np.unique(file):
+                if f != last:
+                    folder = f"{at}/bucket={int(f) % buckets}"
+                    found = pads.dataset(folder, filesystem=fs, format="parquet").to_table(["row"], filter=pads.field("file") == int(f))["row"] if fs.get_file_info(folder).type == pfs.FileType.Directory else pa.array([], pa.int64())
+                    last, rows = f, np.sort(np.asarray(found))
+                own = np.flatnonzero(file == f)
+                near = np.minimum(np.searchsorted(rows, row[own]), max(rows.size - 1, 0))
+                keep[own] = rows[near] != row[own] if rows.size else True
+            yield batch.select(batch.schema.names[:-2]).filter(pa.array(keep))
+
+    return placed.mapInArrow(run, placed.drop("file", "row").schema).toDF(*docs.columns)
+
+
 def deduplicated(docs: DataFrame, **parameters) -> DataFrame:
-    """``docs`` with one row of each group, that of the smallest ``doc_id`` (and, among rows of that id, text hash); other rows as they are."""
+    """``docs`` with one row of each group, that of the smallest ``doc_id`` (and, among rows of that id, text hash); other rows as they are.
+
+    Rows read straight from Parquet files are left out by their place in them, the first place of equal
+    rows staying, without moving any. Others are joined by ``doc_id`` and text hash, and any one of
+    rows equal in both stays.
+    """
     found = near_duplicates(docs, **parameters)
+    if _place(docs) is not None:
+        best = found.groupBy("grp").agg(F.min(F.struct("doc_id", "h", "file", "row")).alias("best"), F.count("*").alias("n")).filter("n > 1")
+        gone = written(found.join(best, "grp").filter(F.struct("doc_id", "h", "file", "row") != F.col("best")).select("file", "row"), "near-marks")
+        return _without(docs, gone, gone.count())
     best = found.groupBy("grp").agg(F.min(F.struct("doc_id", "h")).alias("best"), F.count("*").alias("n")).filter("n > 1")
     rows = found.join(best, "grp").groupBy("doc_id", "h").agg(F.count("*").alias("times"), F.max((F.struct("doc_id", "h") == F.col("best")).cast("int")).alias("is_best"))
     marks = written(rows.filter("is_best = 0 OR times > 1").select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), F.col("is_best").alias("__best")), "near-marks")
-    n = marks.count()
-    hint = F.broadcast(marks) if n <= BROADCAST_ROWS else marks
-    joined = docs.join(hint, docs["doc_id"].cast("bigint").eqNullSafe(hint["__id"]) & (F.xxhash64(docs["text"].cast("string")) == hint["__h"]), "left")
+    joined = docs.join(marks, docs["doc_id"].cast("bigint").eqNullSafe(marks["__id"]) & (F.xxhash64(docs["text"].cast("string")) == marks["__h"]), "left")
     own = [docs[f"`{c}`"] for c in docs.columns]
-    kept = joined.filter(hint["__best"].isNull()).select(*own)
+    kept = joined.filter(marks["__best"].isNull()).select(*own)
     if marks.filter("__best = 1").limit(1).count():
-        again = joined.filter(hint["__best"] == 1).select(F.struct(*own).alias("row"), hint["__id"].alias("i"), hint["__h"].alias("h"))
+        again = joined.filter(marks["__best"] == 1).select(F.struct(*own).alias("row"), marks["__id"].alias("i"), marks["__h"].alias("h"))
         kept = kept.unionByName(again.dropDuplicates(["i", "h"]).select("row.*"))
     return kept
 

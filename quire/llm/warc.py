@@ -22,22 +22,17 @@ from collections.abc import Iterator
 from urllib.parse import quote, unquote
 
 import pyarrow as pa
-import pyarrow.fs as pfs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import column, scratch_path, written
+from quire.llm.common import column, file_system, scratch_path, written
 
 LEVEL = 6
 READ = 1 << 20
 INDEX = "file string, record_id string, page_id bigint, uri string, offset bigint, length bigint, payload_bytes bigint, digest string, status string"
 
 
-def _fs(path: str) -> tuple[pfs.FileSystem, str]:
-    return pfs.FileSystem.from_uri(path if "://" in path or not path.startswith("file:") else "file://" + path[5:])
-
-
 def record(page_id: int | None, uri: str | None, payload: bytes | None) -> bytes:
     """One WARC/1.0 record; the id follows from what the record holds, so a task run again writes the same bytes."""
     body = payload or b""
@@ -126,7 +121,7 @@ def write_monolithic(pages: DataFrame, folder: str, key: str = "page_id", uri: s
     rows = column(column(column(pages, key, "bigint"), uri, "string"), payload, "string").select(F.col(f"`{key}`").alias("k"), F.col(f"`{uri}`").alias("u"), F.col(f"`{payload}`").alias("p"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, at = _fs(folder)
+        fs, at = file_system(folder)
         fs.create_dir(at, recursive=True)
         name = f"part-{TaskContext.get().partitionId():06d}.warc.gz"
         attempt = f"{at}/.{name}.{uuid.uuid4().hex}"
@@ -147,7 +142,7 @@ def write_monolithic(pages: DataFrame, folder: str, key: str = "page_id", uri: s
 def normalise(files: DataFrame, folder: str, level: int = LEVEL) -> DataFrame:
     """Rewrites each file that ``files`` names in column ``file`` and returns the index as a written table, a row for each record."""
     n = max(1, files.count())
-    fs, at = _fs(folder)
+    fs, at = file_system(folder)
     fs.create_dir(at, recursive=True)  # without any files its index is empty
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,8 +151,8 @@ def normalise(files: DataFrame, folder: str, level: int = LEVEL) -> DataFrame:
                 yield from one(path)
 
     def one(path: str) -> Iterator[pa.RecordBatch]:
-        source, inner = _fs(path)
-        fs, at = _fs(folder)
+        source, inner = file_system(path)
+        fs, at = file_system(folder)
         fs.create_dir(at, recursive=True)
         name = f"{hashlib.sha1(path.encode()).hexdigest()[:12]}-{posixpath.basename(inner)}"
         attempt, offset, rows = uuid.uuid4().hex, 0, []
@@ -200,7 +195,7 @@ def read_records(index: DataFrame) -> DataFrame:
             got = {"page_id": [], "url": [], "html": [], "html_bytes": []}
             for path, offset, length in zip(batch["file"].to_pylist(), batch["offset"].to_pylist(), batch["length"].to_pylist(), strict=True):
                 if path != name:
-                    fs, inner = _fs(path)
+                    fs, inner = file_system(path)
                     name, f = path, fs.open_input_file(inner)
                 data = zlib.decompress(f.read_at(length, offset), 31)
                 end = data.index(b"\r\n\r\n")

@@ -97,3 +97,31 @@ def test_one_of_each_group_stays(spark, small):
 def test_thresholds_it_can_not_do_are_refused(odd):
     with pytest.raises(ValueError):
         jj.groups(odd, threshold=0.5)
+
+
+def test_an_ngram_of_every_row_makes_one_entry_a_chunk(spark, prose):
+    rows = [(i, "the very same licence line " + prose(30, i)) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    placed = docs.selectExpr("doc_id", "text", "xxhash64(text) AS h", "0L AS file", "0L AS row")
+    sent = jj._tokenised(placed, 3, 0).filter("range >= 0").collect()
+    keys = [k for r in sent for k in memoryview(bytes(r["keys"])).cast("I")]
+    counts = [c for r in sent for c in memoryview(bytes(r["rows"])).cast("H")]
+    assert len(sent) <= 8 and max(keys.count(k) for k, c in zip(keys, counts, strict=True) if c > 100) <= len(sent)
+    assert sum(c for c in counts if c > 100) >= 3 * 3000
+
+
+def test_frequencies_of_any_size_keep_their_order():
+    df = [1, 2, 127, 128, 200, 255, 256, 10**6, 10**9, 10**12]
+    code = jj.frequency_code(jj.np.array(df)).astype(int).tolist()
+    assert code == sorted(code) and code[:3] == [1, 2, 127] and code[5] < code[7] < code[8] < code[9] <= 255
+
+
+@pytest.mark.parametrize("limit", [10**6, 5])
+def test_rows_of_files_are_left_out_by_place(spark, odd, tmp_path, monkeypatch, prose, limit):
+    monkeypatch.setattr(jj, "BROADCAST_ROWS", limit)
+    path = str(tmp_path / "docs")
+    copies = spark.createDataFrame([(100 + i, prose(50, i % 7), "en", None, i, "u", 1, "r", 2, "b") for i in range(70)], odd.schema)
+    odd.unionByName(copies).repartition(5).write.parquet(path)
+    kept = jj.deduplicated(spark.read.parquet(path))
+    assert kept.columns == odd.columns
+    assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 0, 1, 2, 3, 4, 5, 7, 8, 9, *range(100, 107)]
