@@ -5,17 +5,23 @@ before. ``normalise`` inflates such a file once, as a stream, writes every recor
 own and, beside the new file, an index of members, one JSON object a line. ``read_records`` then
 reads any records by offset.
 
-A truncated or malformed tail gives an index row with that status and no offset; records before it
-are kept. Files of many members are accepted too. A file without records gives an empty file and
-index. A null payload is a record of length 0 marked null and comes back null, as do null keys and
-URLs. Repeated rows give repeated records. Payloads may be of any length.
+What isn't a record (no ``WARC/`` line, no blank line within HEAD bytes, no plain Content-Length, or one
+that doesn't end at the record's end) gives one index row of status ``malformed`` without offset, and
+reading goes on at the next line that begins with ``WARC/1.``; a stream that ends within a record or
+its gzip trailer gives a row of status ``truncated``. All other records are kept. Files of many members
+are accepted too. A file without records gives an empty file and index. URIs are kept as they stand;
+where a header line can't hold one (line breaks, blanks at an end) the exact one is in ``X-Original-URI``. A
+page id that is no number is null. A null payload is a record of length 0 marked null and comes back
+null, as do null keys and URLs. Repeated rows give repeated records. Payloads may be of any length.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import math
 import posixpath
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -30,6 +36,10 @@ from quire.llm.common import column, file_system, scratch_path, written
 
 LEVEL = 6
 READ = 1 << 20
+#: Bytes of a record's header lines, at most.
+HEAD = 1 << 20
+#: Bytes of members that a task reads back, about.
+TASK_BYTES = 16 << 20
 INDEX = "file string, record_id string, page_id bigint, uri string, offset bigint, length bigint, payload_bytes bigint, digest string, status string"
 
 
@@ -37,10 +47,12 @@ def record(page_id: int | None, uri: str | None, payload: bytes | None) -> bytes
     """One WARC/1.0 record; the id follows from what the record holds, so a task run again writes the same bytes."""
     body = payload or b""
     digest = hashlib.sha1(body).hexdigest()
+    shown = uri if uri is None or (uri == uri.strip() and uri.isprintable()) else quote(uri, safe="/:?#[]@!$&'()*+,;=%~")
     head = {
         "WARC-Type": "resource",
         "WARC-Record-ID": f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {uri} {digest}')}>",
-        "WARC-Target-URI": None if uri is None else quote(uri, safe="/:?#[]@!$&'()*+,;=%~") if "%" not in uri and not uri.startswith("raw:") else "raw:" + quote(uri, safe=""),
+        "WARC-Target-URI": shown,
+        "X-Original-URI": None if shown == uri else quote(uri, safe=""),
         "WARC-Date": "1970-01-01T00:00:00Z",
         "WARC-Payload-Digest": f"sha1:{digest}",
         "Content-Type": "text/html",
@@ -58,8 +70,14 @@ def _headers(head: bytes) -> dict[str, str]:
 
 
 def _uri(headers: dict[str, str]) -> str | None:
-    uri = headers.get("warc-target-uri")
-    return None if uri is None else unquote(uri[4:] if uri.startswith("raw:") else uri)
+    exact = headers.get("x-original-uri")
+    return headers.get("warc-target-uri") if exact is None else unquote(exact)
+
+
+def _number(text: str | None, most: int = (1 << 63) - 1) -> int | None:
+    """A whole number in ASCII digits, or None."""
+    n = int(text) if text is not None and re.fullmatch("-?[0-9]{1,19}", text, re.ASCII) else None
+    return n if n is not None and abs(n) <= most else None
 
 
 def inflated(stream) -> Iterator[bytes]:
@@ -80,40 +98,56 @@ def inflated(stream) -> Iterator[bytes]:
 
 
 def parsed(parts: Iterator[bytes]) -> Iterator[tuple[bytes | None, dict[str, str], int, str]]:
-    """Each record's bytes, headers, payload length and status, of a stream of records."""
-    buffer, status = bytearray(), "ok"
+    """Each record's bytes, headers, payload length and status, of a stream of records; rows without bytes for what is none."""
+    buffer, broken, open_ = bytearray(), None, True
 
     def more() -> bool:
-        nonlocal status
+        nonlocal broken, open_
         try:
             buffer.extend(next(parts))
-            return True
         except StopIteration:
-            return False
+            open_ = False
         except (EOFError, zlib.error) as e:
-            status = "truncated" if isinstance(e, EOFError) else "malformed"
-            return False
-
-    open_ = True
-    while True:
-        while (end := buffer.find(b"\r\n\r\n")) < 0 and open_:
-            open_ = more()
-        if end < 0:
-            break
-        headers = _headers(bytes(buffer[:end]))
-        if not buffer.startswith(b"WARC/") or not headers.get("content-length", "").isdigit():
-            status = "malformed"
-            break
-        payload = int(headers["content-length"])
-        total = end + 4 + payload + 4
-        while len(buffer) < total and open_:
-            open_ = more()
-        if len(buffer) < total:
-            break
-        yield bytes(buffer[:total]), headers, payload, "ok"
-        del buffer[:total]
-    if buffer or status != "ok":
-        yield None, {}, 0, status if status != "ok" else "truncated"
+            open_, broken = False, "truncated" if isinstance(e, EOFError) else "malformed"
+        return open_
+
+    def blank_line() -> int:
+        """Where the header ends, or -1."""
+        seen = 0
+        while (end := buffer.find(b"\r\n\r\n", seen, HEAD)) < 0 and len(buffer) < HEAD and open_:
+            seen = max(len(buffer) - 3, 0)
+            more()
+        return end
+
+    def next_record() -> bool:
+        """Drops all before the next line that begins a record; False if the stream has none."""
+        while (at := buffer.find(b"\nWARC/1.")) < 0:
+            if not open_:
+                return False
+            del buffer[: max(len(buffer) - 7, 0)]
+            more()
+        del buffer[: at + 1]
+        return True
+
+    while buffer or (open_ and more()):
+        end = blank_line()
+        headers = _headers(bytes(buffer[:end])) if end >= 0 and buffer.startswith(b"WARC/") else {}
+        payload = _number(headers.get("content-length"))
+        if payload is not None and payload >= 0:
+            total = end + 4 + payload + 4
+            while len(buffer) < total and open_:
+                more()
+            if buffer[total - 4 : total] == b"\r\n\r\n":
+                yield bytes(buffer[:total]), headers, payload, "ok"
+                del buffer[:total]
+                continue
+        cut = buffer.startswith(b"WARC/") and (payload >= 0 if payload is not None else end < 0 and len(buffer) < HEAD)
+        if not next_record():
+            yield None, {}, 0, broken or ("truncated" if cut else "malformed")
+            return
+        yield None, {}, 0, "malformed"
+    if broken:
+        yield None, {}, 0, broken
 
 
 def write_monolithic(pages: DataFrame, folder: str, key: str = "page_id", uri: str = "url", payload: str = "html", level: int = LEVEL) -> DataFrame:
@@ -159,7 +193,7 @@ def normalise(files: DataFrame, folder: str, level: int = LEVEL) -> DataFrame:
         to = f"{folder}/{name}"
         with source.open_input_stream(inner, compression=None) as f, fs.open_output_stream(f"{at}/.{attempt}.gz", compression=None) as out, fs.open_output_stream(f"{at}/.{attempt}.idx", compression=None) as idx:
             for data, head, payload, status in parsed(inflated(f)):
-                row = {"file": to, "record_id": head.get("warc-record-id"), "page_id": int(head["x-page-id"]) if "x-page-id" in head else None, "uri": _uri(head), "offset": None, "length": None, "payload_bytes": None, "digest": head.get("warc-payload-digest"), "status": status}
+                row = {"file": to, "record_id": head.get("warc-record-id"), "page_id": _number(head.get("x-page-id")), "uri": _uri(head), "offset": None, "length": None, "payload_bytes": None, "digest": head.get("warc-payload-digest"), "status": status}
                 if data is not None:
                     z = zlib.compressobj(level, zlib.DEFLATED, 31)
                     member = z.compress(data) + z.flush()
@@ -187,7 +221,7 @@ def read_index(spark, folder: str) -> DataFrame:
 
 
 def read_records(index: DataFrame) -> DataFrame:
-    """The records of the rows of an index, each read by itself at its offset; rows without offset have none."""
+    """The records of the rows of an index, each read by itself at its offset; rows without offset have none. Tasks are as many as their bytes need, whatever the files."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, f = None, None
@@ -201,12 +235,13 @@ def read_records(index: DataFrame) -> DataFrame:
                 end = data.index(b"\r\n\r\n")
                 head = _headers(data[:end])
                 body = None if "x-null-payload" in head else data[end + 4 : end + 4 + int(head["content-length"])].decode("utf-8", "replace")
-                for k, v in (("page_id", int(head["x-page-id"]) if "x-page-id" in head else None), ("url", _uri(head)), ("html", body), ("html_bytes", int(head["content-length"]))):
+                for k, v in (("page_id", _number(head.get("x-page-id"))), ("url", _uri(head)), ("html", body), ("html_bytes", int(head["content-length"]))):
                     got[k].append(v)
             yield pa.RecordBatch.from_pydict(got, pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("html", pa.string()), ("html_bytes", pa.int64())]))
 
     found = index.filter("offset IS NOT NULL").select("file", "offset", "length")
-    return found.repartition("file").sortWithinPartitions("file", "offset").mapInArrow(run, "page_id bigint, url string, html string, html_bytes bigint")
+    tasks = math.ceil((found.agg(F.sum("length")).first()[0] or 1) / TASK_BYTES)
+    return found.repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset").mapInArrow(run, "page_id bigint, url string, html string, html_bytes bigint")
 
 
 def normalised_pages(pages: DataFrame) -> DataFrame:

@@ -72,3 +72,50 @@ def test_odd_rows(spark, prose):
 def test_payloads_of_any_length(spark, tmp_path, size):
     pages = spark.createDataFrame([(1, "u", "z" * size)], "page_id bigint, url string, html string")
     assert warc.normalised_pages(pages).first()["html"] == "z" * size
+
+
+def test_good_records_after_bad_ones_are_kept(spark, tmp_path):
+    good = [warc.record(i, f"http://a/{i}", b"x" * 100) for i in range(4)]
+    none = b"WARC/1.0\r\nContent-Length: \xc2\xb2\r\n\r\nabc\r\n\r\n"
+    long = b"WARC/1.0\r\nContent-Length: 999999\r\n\r\nabc\r\n\r\n"
+    short = b"WARC/1.0\r\nContent-Length: 1\r\n\r\nabc\r\n\r\n"
+    for bad in (none, long, short, b"no record at all\r\n", b"z" * (3 << 20) + b"\r\n"):
+        got = [s for *_, s in warc.parsed(iter([good[0] + bad + good[1] + good[2]]))]
+        assert got == ["ok", "malformed", "ok", "ok"], bad[:40]
+        pieces = good[0] + bad + good[1] + bad + good[2]
+        got = [s for *_, s in warc.parsed(pieces[i : i + 7001] for i in range(0, len(pieces), 7001))]
+        assert got == ["ok", "malformed", "ok", "malformed", "ok"], bad[:40]
+    path = write(tmp_path / "mixed.warc.gz", gzip.compress(good[0] + none + good[1] + good[2]))
+    warc.normalise(spark.createDataFrame([(path,)], "file string"), f"{tmp_path}/out")
+    assert sorted(r["page_id"] for r in warc.read_records(warc.read_index(spark, f"{tmp_path}/out")).collect()) == [0, 1, 2]
+
+
+def test_records_of_other_writers(spark, tmp_path):
+    head = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:1>\r\nWARC-Target-URI: https://x.org/a%20b?q=%2F\r\nX-Page-Id: abc\r\nContent-Length: 4\r\n\r\nbody\r\n\r\n"
+    info = b"WARC/1.0\r\nWARC-Type: warcinfo\r\nContent-Length: 0\r\n\r\n\r\n\r\n"
+    path = write(tmp_path / "other.warc.gz", gzip.compress(info + head))
+    rows = warc.normalise(spark.createDataFrame([(path,)], "file string"), f"{tmp_path}/out").collect()
+    assert [(r["uri"], r["page_id"], r["status"]) for r in rows] == [(None, None, "ok"), ("https://x.org/a%20b?q=%2F", None, "ok")]
+    assert sorted((r["url"] or "", r["html"]) for r in warc.read_records(warc.read_index(spark, f"{tmp_path}/out")).collect()) == [("", ""), ("https://x.org/a%20b?q=%2F", "body")]
+
+
+@pytest.mark.parametrize("uri", ["https://x.org/a%20b?q=%2F", "raw:x", "http://a/é ü", " x", "a\r\nb: c", "", None])
+def test_uris_are_kept_as_they_stand(uri):
+    data = warc.record(1, uri, b"")
+    assert warc._uri(warc._headers(data[: data.index(b"\r\n\r\n")])) == uri
+    if uri and "%" in uri:
+        assert f"WARC-Target-URI: {uri}\r\n".encode() in data
+
+
+def test_a_record_cut_by_the_streams_end(spark):
+    data = warc.record(1, "u", b"x" * 50)
+    assert [s for *_, s in warc.parsed(iter([data + data[:-30]]))] == ["ok", "truncated"]
+    assert [s for *_, s in warc.parsed(iter([data + data[:20]]))] == ["ok", "truncated"]
+
+
+def test_reading_back_takes_more_than_one_task(spark, tmp_path, prose, monkeypatch):
+    monkeypatch.setattr(warc, "TASK_BYTES", 20_000)
+    pages = spark.createDataFrame([(i, "u", prose(2000, i)) for i in range(30)], "page_id bigint, url string, html string").coalesce(1)
+    warc.normalise(warc.write_monolithic(pages, f"{tmp_path}/a"), f"{tmp_path}/b")
+    back = warc.read_records(warc.read_index(spark, f"{tmp_path}/b"))
+    assert back.rdd.getNumPartitions() > 3 and back.count() == 30
