@@ -43,6 +43,10 @@ def op8_embedding_dedup(spark, sf_dir):
     return embedding_dedup.near_duplicates(_read(spark, sf_dir, "embeddings"))
 
 
+def op8_jittered_copies(spark, sf_dir):
+    return embedding_dedup.near_duplicates(embedding_dedup.jittered(_read(spark, sf_dir, "embeddings")))
+
+
 def op9_packing(spark, sf_dir):
     return packing.packed(_read(spark, sf_dir, "documents"))
 
@@ -61,6 +65,7 @@ QUERIES = {
     "op6_secret_scans": op6_secret_scans,
     "op7_warc": op7_warc,
     "op8_embedding_dedup": op8_embedding_dedup,
+    "op8_jittered_copies": op8_jittered_copies,
     "op9_packing": op9_packing,
     "op10_language_id": op10_language_id,
 }
@@ -69,4 +74,5 @@ SQL = {
     "op5_jaccard_join": jaccard_join.SQL,
     "op7_warc": warc.SQL,
     "op8_embedding_dedup": embedding_dedup.SQL,
+    "op8_jittered_copies": embedding_dedup.JITTERED_SQL,
 }

@@ -18,11 +18,13 @@ def brute(rows, threshold):
     def usable(v):
         return v is not None and np.isfinite(v).all() and (v != 0).any()
 
-    for i in range(len(rows)):
-        for j in range(i):
-            if usable(x[i]) and usable(x[j]) and x[i].size == x[j].size and x[i] @ x[j] / np.linalg.norm(x[i]) / np.linalg.norm(x[j]) >= threshold:
-                a, b = sorted((top(i), top(j)))
-                group[b] = a
+    good = [i for i in range(len(rows)) if usable(x[i])]
+    for size in {x[i].size for i in good}:
+        own = [i for i in good if x[i].size == size]
+        unit = np.stack([x[i] / np.linalg.norm(x[i]) for i in own])
+        for i, j in np.argwhere(np.triu(unit @ unit.T >= threshold, 1)):
+            a, b = sorted((top(own[i]), top(own[j])))
+            group[b] = a
     found = {}
     for i in range(len(rows)):
         found.setdefault(top(i), []).append(ids[i])
@@ -78,3 +80,27 @@ def test_odd_rows(spark):
     df = spark.createDataFrame([(*r, 5, "u", 1, 2, "x") for r in rows], "vec_id bigint, embedding array<float>, size int, unit string, uid int, grp int, `a.b` string")
     assert [tuple(r) for r in ed.near_duplicates(df).orderBy("vec_id").collect()] == [(None, 7, 3), (7, 7, 3), (7, 7, 3)]
     assert ed.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_cuts_learned_from_a_sample(spark):
+    rows = planted(900, 32, 6, 0.2)
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    units = ed.unit_vectors(df).withColumn("uid", ed.F.monotonically_increasing_id())
+    cuts = ed._learned(units, 2, 0.05, 200, 1000, ed.SEED)
+    assert len({t for _, t, _ in cuts}) == 2 and max(n for *_, n in cuts) > 3
+    placed = ed._placed(units, 2, cuts, ed.SEED)
+    assert placed.select("uid", "tree").distinct().count() == 2 * len(rows)
+    want = pairs(brute(rows, ed.THRESHOLD))
+    got = pairs(groups(ed.near_duplicates(df, node_rows=200, sample=1000, leaf=64)))
+    assert got <= want and len(got & want) >= 0.9 * len(want)
+
+
+def test_jittered_copies_against_sql(spark, small):
+    import duckdb
+
+    from quire.llm.registry import op8_jittered_copies
+
+    duckdb.sql("CREATE OR REPLACE VIEW embeddings AS FROM '/root/testdata/sf0.001/embeddings.parquet'")
+    want = duckdb.sql(ed.JITTERED_SQL).fetchall()
+    got = op8_jittered_copies(spark, "/root/testdata/sf0.001").collect()
+    assert len(want) > 500 and sorted(map(tuple, got)) == sorted(want)
