@@ -6,7 +6,8 @@ Transitions between the languages of neighbouring words, and of the first and la
 with them, by gradient ascent on the likelihood of labelled sequences. Forward-backward gives every
 word the probability of each language in its whole text; the likeliest is its label.
 
-The labelled sequences are a bounded sample of documents with a language, half of them spliced from
+The labelled sequences are a bounded sample of documents with a language (SAMPLE a language, of at most
+ROW_BYTES bytes; of each, a window of WINDOW words that an epoch draws anew), half of them spliced from
 passages of documents of different languages, so that the field learns how code-switching looks.
 Words are runs of letters and other characters beyond ASCII; digits and marks are in no word.
 
@@ -32,8 +33,10 @@ LETTERS = np.zeros(256, bool)
 LETTERS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 AFFIX = 3
 BITS = 15
-#: Documents of each language that the field is fitted on, at most.
-SAMPLE = 150
+#: Documents of each language that the field is fitted on, at most, and the bytes of each; longer ones are left out of the fitting.
+SAMPLE, ROW_BYTES = 150, 1 << 18
+#: Words of a fitted document that one epoch uses, a window that begins anywhere in it.
+WINDOW = 160
 BLOCK = 64
 LEXICON = {
     "de": "der die das und ist nicht ein eine mit von zu den auf für im dem als auch es an werden aus er hat dass sie nach wird bei",
@@ -188,7 +191,7 @@ def marginals(emission: np.ndarray, rows: np.ndarray, trans: np.ndarray, first:
     return messages(emission, rows, trans, first, last)[0]
 
 
-def fit(texts: list[str], langs: list[str], seed: int = 5, epochs: int = 14, rate: float = 0.15, passage: int = 40) -> Field | None:
+def fit(texts: list[str], langs: list[str], seed: int = 5, epochs: int = 14, rate: float = 0.15, passage: int = 40, window: int = WINDOW) -> Field | None:
     """A field of texts of one language each; see the module's note on splicing."""
     languages = sorted({x for x in langs if x})
     if not languages:
@@ -214,8 +217,8 @@ def fit(texts: list[str], langs: list[str], seed: int = 5, epochs: int = 14, rat
     for epoch in range(epochs):
         pieces = []
         for d, y in docs:
-            a = int(rng.integers(0, max(1, d.size - 4 * passage)))
-            d = d[a : a + 4 * passage]
+            a = int(rng.integers(0, max(1, d.size - window)))
+            d = d[a : a + window]
             if rng.random() < 0.5:
                 pieces.append([(d, y)])
             else:
@@ -265,7 +268,7 @@ def _step(field, params, moments, f, foff, member, words, truth, seq, rate) -> N
 def train(docs: DataFrame, sample: int = SAMPLE, **parameters) -> Field | None:
     """A field of at most ``sample`` documents of each language in column ``lang``, those of the smallest hash of ``doc_id``."""
     docs = column(column(column(docs, "doc_id", "bigint"), "lang", "string"), "text", "string").select("doc_id", "lang", "text")
-    known = docs.filter("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
+    known = docs.filter(f"lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL AND octet_length(text) <= {ROW_BYTES}")
     first = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     chosen = known.select("lang", "doc_id").withColumn("n", first).filter(F.col("n") <= sample).select("lang", "doc_id").distinct()
     rows = known.join(F.broadcast(chosen), ["lang", "doc_id"]).toPandas().sort_values(["lang", "doc_id", "text"])

@@ -25,12 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import U64, chunks, hashes, lists, lowered, offsets, raw, rows_mapped, slim, spans, sums
-from quire.llm.quality_rules import DIGIT, FILLER, MARK, SYMBOL, UPPER, labelled_sample
+from quire.llm.quality_rules import DIGIT, MARK, SYMBOL, UPPER, labelled_sample
 
 PASSAGE = 64
-#: Labelled rows that the model is fitted on, at most, and the words that it may know: those of at least MIN_DOCS rows that go with a label, by SIGNIFICANT standard deviations.
-SAMPLE = 6000
-WORDS, MIN_DOCS, SIGNIFICANT = 20_000, 4, 6.0
+#: Labelled rows that the model is fitted on, at most, and the bytes of the text of each; longer ones are left out of the fitting.
+SAMPLE, ROW_BYTES = 6000, 1 << 18
+#: The model knows every word of at least MIN_DOCS fitted rows that goes with a label by SIGNIFICANT standard deviations; others say too little to be learned.
+MIN_DOCS, SIGNIFICANT = 4, 6.0
 HIDDEN, GATE = 24, 16
 EPOCHS, BATCH, RATE, DECAY = 16, 32, 0.01, 0.05
 #: Share of the words that each step of the training leaves out, lest documents be known by heart.
@@ -38,7 +39,7 @@ DROPPED = 0.3
 ALLOWED = 0.004
 SLOT_BITS = 20
 TASKS = ("quality", "toxic")
-STYLES = 8
+STYLES = 7
 
 
 def passages(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -64,8 +65,8 @@ def passages(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     words = np.maximum(np.diff(begin), 1)
     same = np.zeros(h.size, bool)
     same[1:] = (h[1:] == h[:-1]) & (rows[1:] == rows[:-1])
-    style = np.stack([sums(t[data], edge) / size for t in (UPPER, DIGIT, SYMBOL, MARK, FILLER)] + [sums(same, begin) / words, sums(ends - starts, begin) / words / 10, words / PASSAGE], 1) if words.size else np.zeros((0, STYLES))
-    style[:, :7] *= np.array([3, 3, 3, 3, 10, 2, 1])
+    style = np.stack([sums(t[data], edge) / size for t in (UPPER, DIGIT, SYMBOL, MARK)] + [sums(same, begin) / words, sums(ends - starts, begin) / words / 10, words / PASSAGE], 1) if words.size else np.zeros((0, STYLES))
+    style[:, :6] *= np.array([3, 3, 3, 3, 2, 1])
     return h, begin, doc, style.astype(np.float32)
 
 
@@ -80,15 +81,20 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    slot_hash: np.ndarray
-    slot_word: np.ndarray
+    #: Hashes of the known words, ascending, and which of the SLOT_BITS first bits any of them has.
+    vocabulary: np.ndarray
+    some: np.ndarray
     weights: dict[str, np.ndarray]
     thresholds: dict[str, float | None] = field(default_factory=dict)
 
     def words(self, h: np.ndarray) -> np.ndarray:
         """Number of each word; the last for the unknown, whose embedding stays 0."""
-        slot = (h >> U64(64 - SLOT_BITS)).astype(np.int64)
-        return np.where(self.slot_hash[slot] == h, self.slot_word[slot], len(self.weights["E"]) - 1)
+        word = np.full(h.size, self.vocabulary.size)
+        at = np.flatnonzero(self.some[(h >> U64(64 - SLOT_BITS)).astype(np.int64)])
+        if at.size:
+            near = np.minimum(np.searchsorted(self.vocabulary, h[at]), self.vocabulary.size - 1)
+            word[at] = np.where(self.vocabulary[near] == h[at], near, self.vocabulary.size)
+        return word
 
     def known(self, word: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The same without the unknown words, as they add nothing, but for one at the start of each passage, so that none is empty."""
@@ -114,8 +120,8 @@ class Model:
         return a, s, alpha, z, z @ w["c"][t] + w["d"][t]
 
 
-def _vocabulary(hashes_: np.ndarray, doc: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """Slots of the words that go with a label, the most telling first; a word whose slot is taken stays unknown."""
+def _vocabulary(hashes_: np.ndarray, doc: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words that go with a label, ascending, and which first bits any of them has."""
     order = np.lexsort((hashes_, doc))
     doc, hashes_ = doc[order], hashes_[order]
     new = np.ones(doc.size, bool)
@@ -129,14 +135,10 @@ def _vocabulary(hashes_: np.ndarray, doc: np.ndarray, y: np.ndarray) -> tuple[np
         p = np.clip(y[of, t].mean(), 1e-3, 1 - 1e-3)
         seen = np.bincount(which, weights=y[doc, t], minlength=words.size)
         z = np.maximum(z, np.abs(seen - docs * p) / np.sqrt(docs * p * (1 - p)))
-    order = np.lexsort((words, -z))
-    order = order[(docs[order] >= MIN_DOCS) & (z[order] >= SIGNIFICANT)][:WORDS]
-    slot_hash, slot_word = np.zeros(1 << SLOT_BITS, U64), np.zeros(1 << SLOT_BITS, np.int32)
-    _, first = np.unique(words[order] >> U64(64 - SLOT_BITS), return_index=True)
-    chosen = words[order][np.sort(first)]
-    slot = (chosen >> U64(64 - SLOT_BITS)).astype(np.int64)
-    slot_hash[slot], slot_word[slot] = chosen, np.arange(chosen.size)
-    return slot_hash, slot_word, chosen.size
+    known = words[(docs >= MIN_DOCS) & (z >= SIGNIFICANT)]
+    some = np.zeros(1 << SLOT_BITS, bool)
+    some[(known >> U64(64 - SLOT_BITS)).astype(np.int64)] = True
+    return known, some
 
 
 def fit(h: np.ndarray, begin: np.ndarray, doc: np.ndarray, style: np.ndarray, y: np.ndarray, seed: int = 7, epochs: int = EPOCHS, allowed: float = ALLOWED) -> Model:
@@ -146,12 +148,13 @@ def fit(h: np.ndarray, begin: np.ndarray, doc: np.ndarray, style: np.ndarray, y:
     held = rng.permutation(n) < n // 5
     words_of = np.repeat(np.arange(n, dtype=np.int32), np.diff(begin[doc]))
     fitted = ~held[words_of]
-    slot_hash, slot_word, unknown = _vocabulary(h[fitted], words_of[fitted], y)
+    vocabulary, some = _vocabulary(h[fitted], words_of[fitted], y)
+    unknown = vocabulary.size
     del words_of, fitted
     shape = {"E": (unknown + 1, HIDDEN), "S": (STYLES, HIDDEN), "b": (HIDDEN,), "V": (2, HIDDEN, GATE), "U": (2, HIDDEN, GATE), "w": (2, GATE), "c": (2, HIDDEN), "d": (2,)}
     w = {k: (rng.normal(0, {"E": 0.05, "b": 0, "d": 0}.get(k, 0.3), s)).astype(np.float32) for k, s in shape.items()}
     w["E"][-1] = 0
-    model = Model(slot_hash, slot_word, w)
+    model = Model(vocabulary, some, w)
     size = np.diff(begin)
     word, begin = model.known(model.words(h), begin)
     m, v = ({k: np.zeros_like(x) for k, x in w.items()} for _ in range(2))
@@ -230,7 +233,7 @@ def scores(model: Model, word, begin, size, doc, style) -> tuple[np.ndarray, np.
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, **parameters) -> Model | None:
-    """A model of at most ``sample`` labelled rows, or None without such rows."""
+    """A model of at most ``sample`` labelled rows of at most ROW_BYTES bytes, or None without such rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -242,7 +245,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, **parameters
                     ["doc_id", "good", "toxic", "h", "sizes", "style"],
                 )
 
-    rows = labelled_sample(docs, labels, sample).select("doc_id", "good", "toxic", "text").mapInArrow(run, "doc_id bigint, good int, toxic int, h array<bigint>, sizes array<int>, style array<float>").toArrow()
+    rows = labelled_sample(docs, labels, sample).filter(F.octet_length("text") <= ROW_BYTES).select("doc_id", "good", "toxic", "text").mapInArrow(run, "doc_id bigint, good int, toxic int, h array<bigint>, sizes array<int>, style array<float>").toArrow()
     rows = rows.sort_by([("doc_id", "ascending")]).combine_chunks()
     rows = rows.filter(pa.compute.greater(pa.compute.list_value_length(rows["sizes"]), 0)).combine_chunks()
     if not rows.num_rows:
