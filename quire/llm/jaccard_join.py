@@ -127,7 +127,7 @@ def _tokenised(docs: DataFrame, n: int, bits: int) -> DataFrame:
                 k = len(full) + 1
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.append(full, -1 - chunk % (1 << bits)), pa.int32()),
+                        pa.array(np.append(full, -1 - int(mix(np.array([chunk], U64))[0] % U64(1 << bits))), pa.int32()),
                         pa.array(np.full(k, chunk), pa.int64()),
                         pa.array(np.append(np.diff(cut), 0), pa.int32()),
                         pa.concat_arrays([blobs(fp.astype(np.uint32), cut), blobs(ids, np.array([0, ids.size]))]),
@@ -298,7 +298,7 @@ def _index(survivors: DataFrame, t: float, rare: int, bits: int) -> DataFrame:
                 off = np.searchsorted(s >> U64(64 - bits), np.arange((1 << bits) + 1, dtype=U64)) if bits else np.array([0, s.size])
                 full = np.flatnonzero(np.diff(off))
                 cut = np.append(off[full], off[-1])
-                own = -1 - int(part["uid"][0].as_py() % (1 << bits))
+                own = -1 - int(mix(np.array([part["uid"][0].as_py()], U64))[0] % U64(1 << bits))
                 yield pa.RecordBatch.from_arrays([pa.array(np.append(full, own), pa.int32()), pa.concat_arrays([blobs(s, cut), blobs(pairs[:, 0], np.array([0, len(pairs)]))]), pa.concat_arrays([blobs(u, cut), blobs(pairs[:, 1], np.array([0, len(pairs)]))])], ["range", "entries", "uids"])
 
     return survivors.select("uid", "size", "grams", "dfs").mapInArrow(run, "range int, entries binary, uids binary")
