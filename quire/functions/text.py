@@ -21,7 +21,7 @@ def underscore_case(x: Column) -> Column:
 
 def camel_case(x: Column) -> Column:
     """Words between dashes or underscores, each with a capital."""
-    return F.array_join(F.transform(F.split(x, "[-_]"), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 10_000))), "")
+    return F.array_join(F.transform(F.split(x, "[-_]"), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, F.lit(2), F.length(w)))), "")
 
 
 def wrapped(x: Column, a: str, b: str) -> Column:

@@ -100,8 +100,8 @@ def zip_all(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str) ->
 # --- fonts ------------------------------------------------------------------------------
 
 COMMON_LETTERS = "etaoinshrdlu"
-BIGRAMS = "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce".split()
-TRIGRAMS = "the and tha ent ing ion tio for nde has nce edt tis oft sth men ate wit cti".split()
+BIGRAMS = "al an ar as at be ce ch co de ea ed en er es ha he hi ic in io is it le li ll ma me nd ne ng nt of om on or ou ra re ri ro se si st te th ti to ur ve".split()
+TRIGRAMS = "ain all and are ate ati com con cti ear ect ent ere ers ess est eve for hat her his ica ing int ion ist iti ith ive men nce not one ons our per pro rat rea res sta ted ter tha the thi tio ver was wit".split()
 LIGATURES = ["ﬀ", "ﬁ", "ﬂ", "ﬃ", "ﬄ", "Æ", "æ", "Œ", "œ"]
 
 

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 SKIPPED = [" ", ","]
 
 
-def is_gold(path: str = "path", team: str = "UmaCziTeam"):
-    """Whether an annotation's path marks it as gold."""
+def is_gold(team: str, path: str = "path"):
+    """Whether an annotation's path ends in the name of the team whose annotations are gold."""
     return F.col(path).endswith(team)
 
 

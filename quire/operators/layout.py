@@ -304,8 +304,11 @@ def votes(shapes: DataFrame, texts: DataFrame) -> DataFrame:
 def trigrams(texts: DataFrame) -> DataFrame:
     """An inverted index of the lines' character trigrams."""
     x = F.lower("text")
-    tri = F.transform(F.sequence(F.lit(1), F.greatest(F.length(x) - 2, F.lit(1))), lambda i: F.substring(x, i, 3))
-    return texts.select(*PAGE, "line", F.explode(F.array_distinct(tri)).alias("tri")).filter(F.length("tri") == 3).groupBy("tri").agg(F.count("*").alias("n_lines"), F.sort_array(F.collect_list(F.struct(*PAGE, "line"))).alias("lines"))
+    # a substring is found by walking from the start, so lines are cut into characters once and shifted against themselves
+    cut = texts.select(*PAGE, "line", F.split(x, "").alias("c")).withColumn("n", F.greatest(F.size("c") - 2, F.lit(0)))
+    a, b, c = (F.slice("c", i, F.col("n")) for i in (1, 2, 3))
+    tri = F.zip_with(F.zip_with(a, b, lambda x, y: F.concat(x, y)), c, lambda x, y: F.concat(x, y))
+    return cut.select(*PAGE, "line", F.explode(F.array_distinct(tri)).alias("tri")).groupBy("tri").agg(F.count("*").alias("n_lines"), F.sort_array(F.collect_list(F.struct(*PAGE, "line"))).alias("lines"))
 
 
 def glyphs_of_text(cells: DataFrame) -> DataFrame:

@@ -14,6 +14,9 @@ def roots(edges: DataFrame) -> DataFrame:
 
 
 def _walk(edges: DataFrame) -> DataFrame:
+    # paths have no repeated node, so a walk ends by itself; Spark's own limits (100 levels, a million rows) would end it by an error
+    for limit in ("spark.sql.cteRecursionLevelLimit", "spark.sql.cteRecursionRowLimit"):
+        edges.sparkSession.conf.set(limit, "-1")
     name = f"edges_{uuid.uuid4().hex}"
     edges.select("parent", "child").distinct().createOrReplaceTempView(name)
     roots(edges).createOrReplaceTempView(f"roots_{name}")

@@ -145,13 +145,13 @@ SHAPES_JSON = f"SELECT doc_id, count(*) AS n, CAST(sum(w) AS BIGINT) AS w, count
 
 def clusters(spark, sf):
     """Lines of a page tied to the next one of the same length: members of each cluster."""
-    s = line_boxes(spark, sf).withColumn("node", F.col("doc_id") * 100_000 + F.col("line"))
+    s = line_boxes(spark, sf).withColumn("node", F.col("doc_id") * 4_294_967_296 + F.col("line"))
     nxt = F.lead("node").over(Window.partitionBy("doc_id", "n").orderBy("line"))
     ties = s.select(F.col("node").alias("a"), nxt.alias("b")).filter("b IS NOT NULL")
     return spatial.cluster_members(spatial.clusters(s.select("node"), ties))
 
 
-CLUSTERS = f"SELECT min(node) AS component, list_sort(list(node)) AS members FROM (SELECT doc_id * 100000 + line AS node, doc_id, n FROM ({LINE_BOXES_SQL})) GROUP BY doc_id, n"
+CLUSTERS = f"SELECT min(node) AS component, list_sort(list(node)) AS members FROM (SELECT doc_id * 4294967296 + line AS node, doc_id, n FROM ({LINE_BOXES_SQL})) GROUP BY doc_id, n"
 
 
 # --- labels -----------------------------------------------------------------------------
@@ -344,7 +344,7 @@ def font_evidence(spark, sf):
 
 
 FONT_EVIDENCE = f"""WITH g AS (SELECT *, lower(char) AS c, lag(lower(char)) OVER (PARTITION BY font, doc_id ORDER BY doc_id, item_id) AS p FROM ({_GLYPHS}))
-SELECT font, count(*) FILTER (p || c IN ({", ".join(f"'{b}'" for b in sorted(set(aggregates.BIGRAMS)))})) AS bigrams, count(*) FILTER (c = 'e') AS n_e, count(*) FILTER (c = 't') AS n_t, font <> 'Digits' AS text_font FROM g GROUP BY font"""
+SELECT font, count(*) FILTER (p || c IN ('ce', 'ch', 'co', 'de', 'ea', 'ed', 'en', 'er', 'es', 'al', 'an', 'ar', 'as', 'at', 'be', 'ha', 'he', 'hi', 'ic', 'in', 'io', 'is', 'it', 'le', 'li', 'll', 'ma', 'me', 'nd', 'ne', 'ng', 'nt', 'of', 'om', 'on', 'or', 'ou', 'ra', 're', 'ri', 'ro', 'se', 'si', 'st', 'te', 'th', 'ti', 'to', 'ur', 've')) AS bigrams, count(*) FILTER (c = 'e') AS n_e, count(*) FILTER (c = 't') AS n_t, font <> 'Digits' AS text_font FROM g GROUP BY font"""
 
 
 def letters_by_height(spark, sf):

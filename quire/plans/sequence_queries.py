@@ -179,11 +179,11 @@ FROM (SELECT l_returnflag, l_linestatus, CAST(l_quantity AS INTEGER) AS q, count
 
 def commonest_offset(spark, sf):
     """For each document the column at the first place of its commonest character."""
-    c = cells(spark, sf).withColumn("ord", F.col("row").cast("bigint") * 1_000_000 + F.col("col"))
+    c = cells(spark, sf).withColumn("ord", F.col("row").cast("bigint") * 4_294_967_296 + F.col("col"))
     return aggregates.offset_of_commonest(c, ["doc_id"], "char", "col", "ord")
 
 
-COMMONEST_OFFSET = f"""SELECT doc_id, offset_ AS "offset" FROM (SELECT doc_id, char, count(*) AS n, arg_min(col, row * 1000000 + col) AS offset_, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, encode(char)) AS k FROM ({CELLS_SQL}) GROUP BY doc_id, char) WHERE k = 1"""
+COMMONEST_OFFSET = f"""SELECT doc_id, offset_ AS "offset" FROM (SELECT doc_id, char, count(*) AS n, arg_min(col, row * 4294967296 + col) AS offset_, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, encode(char)) AS k FROM ({CELLS_SQL}) GROUP BY doc_id, char) WHERE k = 1"""
 
 
 def _table(spark, sf):
@@ -259,7 +259,7 @@ SELECT o_custkey, 'both' AS kind FROM (SELECT * FROM a INTERSECT SELECT * FROM b
 
 
 def _spans_of_orders(spark, sf):
-    return table(spark, sf, "orders").select("o_orderkey", F.unix_date(F.to_date("o_orderdate")).alias("s"), (F.unix_date(F.to_date("o_orderdate")) + (F.col("o_orderkey") % 4).cast("int")).alias("e"), (F.col("o_custkey") % 20).alias("k"))
+    return table(spark, sf, "orders").select("o_orderkey", F.unix_date(F.to_date("o_orderdate")).alias("s"), (F.unix_date(F.to_date("o_orderdate")) + (F.col("o_orderkey") % 4).cast("int")).alias("e"), (F.col("o_custkey") % 20).alias("k"), "o_custkey")
 
 
 def stabbing(spark, sf):
@@ -269,20 +269,20 @@ def stabbing(spark, sf):
     return found.groupBy("o_orderkey").agg(F.count("*").alias("n"), F.min("p").alias("first_day"))
 
 
-_ORDER_SPANS = "SELECT o_orderkey, CAST(date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS INTEGER) AS s, CAST(date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) + o_orderkey % 4 AS INTEGER) AS e, o_custkey % 20 AS k FROM orders"
+_ORDER_SPANS = "SELECT o_orderkey, CAST(date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS INTEGER) AS s, CAST(date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) + o_orderkey % 4 AS INTEGER) AS e, o_custkey % 20 AS k, o_custkey FROM orders"
 STABBING = f"SELECT o_orderkey, count(*) AS n, CAST(min(p) AS INTEGER) AS first_day FROM ({_ORDER_SPANS}) o JOIN (SELECT date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS p, l_partkey % 20 AS k FROM lineitem) l ON o.k = l.k AND p BETWEEN s AND e GROUP BY o_orderkey"
 
 
 def overlapping(spark, sf):
-    """Orders of one group whose days overlap; every tenth never ends."""
-    o = _spans_of_orders(spark, sf).withColumn("e", F.when(F.col("o_orderkey") % 10 != 0, F.col("e")))
+    """Orders of one customer whose days overlap; every tenth never ends."""
+    o = _spans_of_orders(spark, sf).withColumn("k", F.col("o_custkey")).withColumn("e", F.when(F.col("o_orderkey") % 10 != 0, F.col("e")))
     b = o.select(F.col("o_orderkey").alias("other"), F.col("s").alias("bs"), F.col("e").alias("be"), "k")
-    pairs = interval_join.overlap(o.filter("o_orderkey % 7 = 0"), b.filter("other % 5 = 0"), ("s", "e"), ("bs", "be"), 30, ["k"])
+    pairs = interval_join.overlap(o, b, ("s", "e"), ("bs", "be"), 30, ["k"])
     return pairs.select("o_orderkey", "other")
 
 
-OVERLAPPING = f"""WITH o AS (SELECT o_orderkey, s, CASE WHEN o_orderkey % 10 <> 0 THEN e END AS e, k FROM ({_ORDER_SPANS}))
-SELECT a.o_orderkey, b.o_orderkey AS other FROM o a JOIN o b ON a.k = b.k WHERE a.o_orderkey % 7 = 0 AND b.o_orderkey % 5 = 0 AND (b.e IS NULL OR a.s <= b.e) AND (a.e IS NULL OR b.s <= a.e)"""
+OVERLAPPING = f"""WITH o AS (SELECT o_orderkey, s, CASE WHEN o_orderkey % 10 <> 0 THEN e END AS e, o_custkey AS k FROM ({_ORDER_SPANS}))
+SELECT a.o_orderkey, b.o_orderkey AS other FROM o a JOIN o b ON a.k = b.k WHERE (b.e IS NULL OR a.s <= b.e) AND (a.e IS NULL OR b.s <= a.e)"""
 
 
 def interval_algebra(spark, sf):

@@ -84,3 +84,18 @@ def test_union_find():
     assert sorted(map(sorted, d.sets())) == [[1], [2, 3], [4, 5, 6]]
     with pytest.raises(ValueError):
         d.add(1)
+
+
+def test_trees_deeper_than_a_hundred_levels(spark):
+    from quire.operators import trees
+
+    edges = spark.createDataFrame([(i, i + 1) for i in range(150)], "parent bigint, child bigint")
+    assert [r["path"] for r in trees.leaf_paths(edges).collect()] == [list(range(151))]
+
+
+def test_trigrams_of_short_null_and_astral_texts(spark):
+    from quire.operators import layout
+
+    rows = [(1, 0, 0, "abcabc"), (1, 0, 1, "ab"), (1, 0, 2, ""), (1, 0, 3, None), (2, 0, 0, "x\U0001f600yz")]
+    got = {r["tri"]: r["n_lines"] for r in layout.trigrams(spark.createDataFrame(rows, "doc_id bigint, page int, line int, text string")).collect()}
+    assert got == {"abc": 1, "bca": 1, "cab": 1, "x\U0001f600y": 1, "\U0001f600yz": 1}
