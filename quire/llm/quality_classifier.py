@@ -3,7 +3,10 @@
 A document is a bag of passages of PASSAGE words. Every passage is encoded (word embeddings and style
 shares, through tanh); gated attention, learned from the documents' labels alone, weighs the passages;
 the weighted representation is scored. There is one attention and score for quality and one for
-toxicity, over the same encoder. Trained here, on a bounded sample of labelled rows, by Adam.
+toxicity, over the same encoder. Trained here, on a bounded sample of labelled rows, by Adam. The
+words that tell are counted where the texts are; of the sample only the known words, passage sizes
+and styles reach the driver, through the shared folder into files that it maps, so that its memory
+holds a few documents at a time, whatever their length.
 
 A document is rejected if its quality is under, or its toxicity over, a threshold calibrated on
 held-out rows of the sample so that a share ALLOWED of the clean ones is given up.
@@ -16,15 +19,19 @@ columns are left out of the scores and kept by ``kept``.
 
 from __future__ import annotations
 
+import os
+import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.dataset as pads
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import U64, chunks, hashes, lists, lowered, offsets, raw, rows_mapped, slim, spans, sums
+from quire.llm.common import U64, chunks, file_system, hashes, lists, lowered, offsets, raw, remove, rows_mapped, scratch_path, slim, spans, sums, written
 from quire.llm.quality_rules import DIGIT, MARK, SYMBOL, UPPER, labelled_sample
 
 PASSAGE = 64
@@ -39,6 +46,8 @@ DROPPED = 0.3
 ALLOWED = 0.004
 SLOT_BITS = 20
 TASKS = ("quality", "toxic")
+#: A character of a word.
+ANY_WORD = r"[^\x00-/:-@\[-`{-\x7f]"
 STYLES = 7
 
 
@@ -120,8 +129,8 @@ class Model:
         return a, s, alpha, z, z @ w["c"][t] + w["d"][t]
 
 
-def _vocabulary(hashes_: np.ndarray, doc: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words that go with a label, ascending, and which first bits any of them has."""
+def counted(hashes_: np.ndarray, doc: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Every distinct word, the number of documents that have it, and how many of them have each label."""
     order = np.lexsort((hashes_, doc))
     doc, hashes_ = doc[order], hashes_[order]
     new = np.ones(doc.size, bool)
@@ -129,16 +138,23 @@ def _vocabulary(hashes_: np.ndarray, doc: np.ndarray, y: np.ndarray) -> tuple[np
     doc, hashes_ = doc[new], hashes_[new]
     del order, new
     words, which, docs = np.unique(hashes_, return_inverse=True, return_counts=True)
-    of = np.unique(doc)
-    z = np.zeros(words.size)
-    for t in range(2):
-        p = np.clip(y[of, t].mean(), 1e-3, 1 - 1e-3)
-        seen = np.bincount(which, weights=y[doc, t], minlength=words.size)
-        z = np.maximum(z, np.abs(seen - docs * p) / np.sqrt(docs * p * (1 - p)))
-    known = words[(docs >= MIN_DOCS) & (z >= SIGNIFICANT)]
+    return words, docs, np.stack([np.bincount(which, weights=y[doc, t], minlength=words.size) for t in range(2)], 1)
+
+
+def telling(docs: np.ndarray, seen: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Which words go with a label; ``share``: of the documents with words, those that have each label."""
+    p = np.clip(share, 1e-3, 1 - 1e-3)
+    return (docs >= MIN_DOCS) & ((np.abs(seen - docs[:, None] * p) / np.sqrt(docs[:, None] * p * (1 - p))).max(1) >= SIGNIFICANT)
+
+
+def _fresh(known: np.ndarray, rng: np.random.Generator) -> Model:
+    """A model of the words ``known``, ascending, that has learned nothing yet."""
     some = np.zeros(1 << SLOT_BITS, bool)
     some[(known >> U64(64 - SLOT_BITS)).astype(np.int64)] = True
-    return known, some
+    shape = {"E": (known.size + 1, HIDDEN), "S": (STYLES, HIDDEN), "b": (HIDDEN,), "V": (2, HIDDEN, GATE), "U": (2, HIDDEN, GATE), "w": (2, GATE), "c": (2, HIDDEN), "d": (2,)}
+    w = {k: (rng.normal(0, {"E": 0.05, "b": 0, "d": 0}.get(k, 0.3), s)).astype(np.float32) for k, s in shape.items()}
+    w["E"][-1] = 0
+    return Model(known, some, w)
 
 
 def fit(h: np.ndarray, begin: np.ndarray, doc: np.ndarray, style: np.ndarray, y: np.ndarray, seed: int = 7, epochs: int = EPOCHS, allowed: float = ALLOWED) -> Model:
@@ -148,43 +164,53 @@ def fit(h: np.ndarray, begin: np.ndarray, doc: np.ndarray, style: np.ndarray, y:
     held = rng.permutation(n) < n // 5
     words_of = np.repeat(np.arange(n, dtype=np.int32), np.diff(begin[doc]))
     fitted = ~held[words_of]
-    vocabulary, some = _vocabulary(h[fitted], words_of[fitted], y)
-    unknown = vocabulary.size
-    del words_of, fitted
-    shape = {"E": (unknown + 1, HIDDEN), "S": (STYLES, HIDDEN), "b": (HIDDEN,), "V": (2, HIDDEN, GATE), "U": (2, HIDDEN, GATE), "w": (2, GATE), "c": (2, HIDDEN), "d": (2,)}
-    w = {k: (rng.normal(0, {"E": 0.05, "b": 0, "d": 0}.get(k, 0.3), s)).astype(np.float32) for k, s in shape.items()}
-    w["E"][-1] = 0
-    model = Model(vocabulary, some, w)
+    words, docs, seen = counted(h[fitted], words_of[fitted], y)
+    model = _fresh(words[telling(docs, seen, y[np.unique(words_of[fitted])].mean(0))] if words.size else words, rng)
     size = np.diff(begin)
     word, begin = model.known(model.words(h), begin)
+    return _learned(model, word, begin, size, doc, style, y, held, np.arange(n), rng, epochs, allowed)
+
+
+def _learned(model: Model, word, begin, size, doc, style, y: np.ndarray, held: np.ndarray, first: np.ndarray, rng: np.random.Generator, epochs: int, allowed: float) -> Model:
+    """``model``, fitted on the documents that aren't ``held``; ``first``: their order, before it is shuffled. Words, passages and styles are only read for a few documents at a time."""
+    w = model.weights
     m, v = ({k: np.zeros_like(x) for k, x in w.items()} for _ in range(2))
     share = np.clip(y[~held].mean(0), 1e-3, 1 - 1e-3)
-    step, train = 0, np.flatnonzero(~held)
+    step, train = 0, first[~held[first]]
     for epoch in range(epochs):
         order = rng.permutation(train)
         rate = RATE * (1 - epoch / epochs)
         for at in range(0, order.size, BATCH):
-            of = order[at : at + BATCH]
-            g = _gradients(model, np.where(rng.random(word.size) < DROPPED, unknown, word), begin, size, doc, style, y, of, share)
+            part, *rest = _part(word, begin, size, doc, style, order[at : at + BATCH])
+            part[rng.random(part.size) < DROPPED] = model.vocabulary.size
+            g = _gradients(model, part, *rest, y[order[at : at + BATCH]], np.arange(len(rest[2]) - 1), share)
             step += 1
             for k, x in g.items():
                 m[k] += 0.1 * (x - m[k])
                 v[k] += 0.005 * (x * x - v[k])
                 w[k] -= rate * (m[k] / (1 - 0.9**step) / (np.sqrt(v[k] / (1 - 0.995**step)) + 1e-7) + DECAY * w[k])
             w["E"][-1] = 0
-    p = scores(model, word, begin, size, doc, style)[0]
-    check = np.flatnonzero(held) if held.any() else np.arange(n)
+    check = first[held[first]] if held.any() else first
     clean = check[(y[check] == [1, 0]).all(1)]
+    p = [scores(model, *_part(word, begin, size, doc, style, clean[at : at + BATCH]))[0] for at in range(0, clean.size, BATCH)]
+    p = np.concatenate(p) if p else np.zeros((0, 2))
     for t, name in enumerate(TASKS):
         if np.ptp(y[:, t]) == 0 or not clean.size:
             model.thresholds[name] = None
         elif t == 0:
-            model.thresholds[name] = float(min(0.5, np.quantile(p[clean, 0], allowed, method="lower") - 1e-6))
+            model.thresholds[name] = float(min(0.5, np.quantile(p[:, 0], allowed, method="lower") - 1e-6))
         else:
-            model.thresholds[name] = float(max(0.5, np.quantile(p[clean, 1], 1 - allowed, method="higher") + 1e-6))
+            model.thresholds[name] = float(max(0.5, np.quantile(p[:, 1], 1 - allowed, method="higher") + 1e-6))
     return model
 
 
+def _part(word, begin, size, doc, style, of: np.ndarray) -> tuple:
+    """The documents ``of`` alone, in that order."""
+    which, doc = _pick(doc, of)
+    at, begin = _pick(begin, which)
+    return np.array(word[at]), begin, size[which], doc, np.array(style[which])
+
+
 def _pick(off: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Members of the segments ``of``, and where each segment begins among them."""
     count = off[of + 1] - off[of]
@@ -232,29 +258,82 @@ def scores(model: Model, word, begin, size, doc, style) -> tuple[np.ndarray, np.
     return p, top, most
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, **parameters) -> Model | None:
-    """A model of at most ``sample`` labelled rows of at most ROW_BYTES bytes, or None without such rows."""
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 7, epochs: int = EPOCHS, allowed: float = ALLOWED) -> Model | None:
+    """A model of at most ``sample`` labelled rows of at most ROW_BYTES bytes (a row that is repeated counts once), or None without such rows. A fifth is held out for the thresholds."""
+    spark, made = docs.sparkSession, [scratch_path(docs.sparkSession, f"classifier-{x}") for x in ("rows", "passages")]
+    rows = labelled_sample(docs, labels, sample).filter((F.octet_length("text") <= ROW_BYTES) & F.col("text").rlike(ANY_WORD))
+    rows = written(rows.withColumn("h", F.xxhash64("text")).dropDuplicates(["doc_id", "h"]), "", made[0])
+    rng = np.random.default_rng(seed)
+    try:
+        keys = rows.select("doc_id", "h", "good", "toxic").toPandas().sort_values(["doc_id", "h"], ignore_index=True)
+        n = len(keys)
+        if not n:
+            return None
+        held, y = rng.permutation(n) < n // 5, (keys[["good", "toxic"]].to_numpy() > 0).astype(np.float32)
+        numbers = spark.createDataFrame(keys[["doc_id", "h"]].assign(number=range(n), held=held), "doc_id bigint, h bigint, number int, held boolean")
+        rows = rows.join(F.broadcast(numbers), ["doc_id", "h"])
+        model = _fresh(_told(rows, y[~held].mean(0)), rng)
+        _prepared(rows, model).write.option("compression", "zstd").parquet(made[1])
+        with tempfile.TemporaryDirectory() as folder:
+            *read, number = _mapped(made[1], folder)
+            return _learned(model, *read, y[number], held[number], np.argsort(number), rng, epochs, allowed)
+    finally:
+        for path in made:
+            remove(spark, path)
+
+
+def _told(rows: DataFrame, share: np.ndarray) -> np.ndarray:
+    """Hashes of all words of the rows not held that go with a label, ascending."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch):
+                h, begin, doc, _ = passages(part["text"])
+                y = np.stack([np.asarray(part["good"]) > 0, np.asarray(part["toxic"]) > 0], 1)
+                words, docs, seen = counted(h, np.repeat(np.arange(part.num_rows), np.diff(begin[doc])), y)
+                yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), *(pa.array(x.astype(np.int64)) for x in (docs, seen[:, 0], seen[:, 1]))], ["word", "docs", "good", "toxic"])
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs, seen = np.asarray(batch["docs"]), np.stack([np.asarray(batch["good"]), np.asarray(batch["toxic"])], 1)
+            yield batch.select(["word"]).filter(pa.array(telling(docs, seen, share)))
+
+    counts = rows.filter("NOT held").select("good", "toxic", "text").mapInArrow(count, "word bigint, docs bigint, good bigint, toxic bigint")
+    counts = counts.groupBy("word").agg(*(F.sum(c).alias(c) for c in ("docs", "good", "toxic"))).filter(F.col("docs") >= MIN_DOCS)
+    return np.sort(counts.mapInArrow(choose, "word bigint").toArrow()["word"].to_numpy().astype(np.int64).view(U64))
+
+
+def _prepared(rows: DataFrame, model: Model) -> DataFrame:
+    """Of every row, by its number: its known words as numbers, how many of them each passage has, the passages' sizes and styles."""
+    sent = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch):
                 h, begin, doc, style = passages(part["text"])
-                words = begin[doc]
-                yield pa.RecordBatch.from_arrays(
-                    [part["doc_id"], part["good"], part["toxic"], lists(h.view(np.int64), words, pa.int64()), lists(np.diff(begin).astype(np.int32), doc, pa.int32()), lists(style.ravel(), doc * STYLES, pa.float32())],
-                    ["doc_id", "good", "toxic", "h", "sizes", "style"],
-                )
-
-    rows = labelled_sample(docs, labels, sample).filter(F.octet_length("text") <= ROW_BYTES).select("doc_id", "good", "toxic", "text").mapInArrow(run, "doc_id bigint, good int, toxic int, h array<bigint>, sizes array<int>, style array<float>").toArrow()
-    rows = rows.sort_by([("doc_id", "ascending")]).combine_chunks()
-    rows = rows.filter(pa.compute.greater(pa.compute.list_value_length(rows["sizes"]), 0)).combine_chunks()
-    if not rows.num_rows:
-        return None
-    flat = lambda c: rows[c].combine_chunks().flatten().to_numpy(zero_copy_only=False)
-    begin = np.concatenate([[0], np.cumsum(flat("sizes"))])
-    doc = np.concatenate([[0], np.cumsum(pa.compute.list_value_length(rows["sizes"]).to_numpy())])
-    y = np.stack([np.asarray(rows["good"]) > 0, np.asarray(rows["toxic"]) > 0], 1).astype(np.float32)
-    return fit(flat("h").view(U64), begin, doc, flat("style").reshape(-1, STYLES), y, **parameters)
+                word, known = sent.value.known(sent.value.words(h), begin)
+                arrays = [lists(word, known[doc], pa.int32()), lists(np.diff(known), doc, pa.int32()), lists(np.diff(begin), doc, pa.int32()), lists(style.ravel(), doc * STYLES, pa.float32())]
+                yield pa.RecordBatch.from_arrays([part["number"], *arrays], ["number", "word", "known", "size", "style"])
+
+    return rows.select("number", "text").mapInArrow(run, "number int, word array<int>, known array<int>, size array<int>, style array<float>")
+
+
+def _mapped(path: str, folder: str) -> tuple:
+    """Words, passages and styles of a table that ``_prepared`` made, as ``_learned`` takes them, words and styles in files of ``folder``; and the rows' numbers."""
+    fs, at = file_system(path)
+    known, size, doc, number = [], [], [], []
+    names = [os.path.join(folder, k) for k in ("word", "style")]
+    with open(names[0], "wb") as words, open(names[1], "wb") as styles:
+        for batch in pads.dataset(at, filesystem=fs, format="parquet").to_batches(batch_size=64, batch_readahead=1, fragment_readahead=1):
+            for file, k in ((words, "word"), (styles, "style")):
+                file.write(np.ascontiguousarray(batch[k].flatten()).tobytes())
+            known.append(np.asarray(batch["known"].flatten()))
+            size.append(np.asarray(batch["size"].flatten()))
+            doc.append(np.asarray(pc.list_value_length(batch["size"])))
+            number.append(np.asarray(batch["number"]))
+    known, size, doc, number = (np.concatenate(x).astype(np.int64) for x in (known, size, doc, number))
+    word, style = np.memmap(names[0], np.int32, "r"), np.memmap(names[1], np.float32, "r").reshape(-1, STYLES)
+    return word, np.concatenate([[0], np.cumsum(known)]), size, np.concatenate([[0], np.cumsum(doc)]), style, number
 
 
 def verdict(texts: pa.Array, model: Model | None) -> dict[str, pa.Array]:

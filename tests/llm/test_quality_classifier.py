@@ -107,3 +107,20 @@ def test_odd_rows(odd, nothing, model, small):
 def test_without_labels(odd, small):
     assert qc.train(odd, small("labels").limit(0)) is None
     assert sorted(r["doc_id"] or 0 for r in qc.kept(odd, None).collect()) == [0, 1, 1, 5, 6, 7, 8]
+
+
+def test_the_fitted_rows_do_not_pass_through_the_drivers_results(spark, tables):
+    """Long labelled rows, of more bytes than the driver may be sent: they are fitted on as they are, and a repeated row counts once."""
+    docs, labels = tables
+    rows = docs.join(labels, "doc_id").filter("doc_id % 4 = 0").orderBy("doc_id")
+    texts = rows.selectExpr("doc_id", "repeat(concat(text, ' '), cast(least(100000 / (length(text) + 1) + 1, 200) as int)) AS text").repartition(8)
+    limit = spark.conf.get("spark.driver.maxResultSize", "1g")
+    sent = spark.sparkContext._jsc.sc().conf()
+    sent.set("spark.driver.maxResultSize", "8m")
+    try:
+        model = qc.train(texts.unionByName(texts), labels)
+    finally:
+        sent.set("spark.driver.maxResultSize", limit)
+    assert model.thresholds["quality"] is not None and model.vocabulary.size
+    once = qc.train(texts, labels)
+    assert all(np.array_equal(model.weights[k], once.weights[k]) for k in once.weights) and model.thresholds == once.thresholds
