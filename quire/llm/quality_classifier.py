@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import U64, chunks, file_system, hashes, lists, lowered, offsets, raw, remove, rows_mapped, scratch_path, slim, spans, sums, written
-from quire.llm.quality_rules import DIGIT, MARK, SYMBOL, UPPER, labelled_sample
+from quire.llm.quality_rules import DIGIT, MARK, SYMBOL, UPPER, labelled
 
 PASSAGE = 64
 #: Labelled rows that the model is fitted on, at most, and the bytes of the text of each; longer ones are left out of the fitting.
@@ -258,6 +258,12 @@ def scores(model: Model, word, begin, size, doc, style) -> tuple[np.ndarray, np.
     return p, top, most
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int) -> DataFrame:
+    """At most ``limit`` labelled rows, those of the smallest hash of ``doc_id``: ``doc_id``, ``good``, ``toxic`` and the text."""
+    chosen = labelled(labels).withColumn("o", F.xxhash64("doc_id")).orderBy("o", "doc_id").limit(limit).drop("o")
+    return slim(docs).join(F.broadcast(chosen), "doc_id")
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 7, epochs: int = EPOCHS, allowed: float = ALLOWED) -> Model | None:
     """A model of at most ``sample`` labelled rows of at most ROW_BYTES bytes (a row that is repeated counts once), or None without such rows. A fifth is held out for the thresholds."""
     spark, made = docs.sparkSession, [scratch_path(docs.sparkSession, f"classifier-{x}") for x in ("rows", "passages")]

@@ -2,12 +2,12 @@
 
 Every document gets the statistics in STATS from its whole text; shares are taken over a few units
 more than the text has, so that a very short text isn't odd by rounding. A forest of random splits is
-grown on the good rows of a bounded sample of labelled rows, splitting the box that all labelled rows
+grown on the good labelled rows, of which each tree draws SUBSAMPLE, splitting the box that all labelled rows
 span (not only where a node's rows lie, as a cluster of like junk would then look usual); the fewer
 splits it takes to set a document apart, the more anomalous it is. Rules of one kind (GROUPS) have a forest of their own, so that one odd habit isn't
 lost among many usual statistics. Length is in no group: few good rows are long, so a forest that splits on
-it would take one chance repeat in a long text for an anomaly. Each forest's threshold is calibrated on the labelled rows: the
-lowest that spares all but ALLOWED of the good rows. A document over any threshold is rejected.
+it would take one chance repeat in a long text for an anomaly. Each forest's threshold is calibrated on all labelled rows, whose scores are counted exactly
+where they are: the lowest that spares all but ALLOWED of the good rows. A document over any threshold is rejected.
 
 A null or empty text, and one without words, has all statistics 0, scores null, and is rejected.
 Without labelled good rows (no labels, or none whose text has words) there is no forest: scores are
@@ -26,16 +26,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import INK, U64, chunks, column, hashes, lowered, offsets, raw, rows_mapped, slim, spans, sums
+from quire.llm.common import INK, U64, chunks, column, hashes, lowered, offsets, raw, remove, rows_mapped, scratch_path, slim, spans, sums, written
 
 STATS = ["log_words", "word_length", "upper", "digits", "symbols", "same_as_last", "distinct", "line_words", "repeated_lines", "top_word", "stop_words", "marked_words"]
 GROUPS = {"casing": ["upper", "word_length"], "symbols": ["symbols", "marked_words", "digits"], "structure": ["stop_words", "line_words"], "repetition": ["same_as_last", "distinct", "top_word"], "lines": ["repeated_lines"]}
-#: Labelled rows that the forests are grown and calibrated on, at most.
-SAMPLE = 8000
+#: Trees of a forest, and the good labelled rows that each draws: the subsampling that the method consists in.
 TREES, SUBSAMPLE = 64, 256
 #: Share of the good labelled rows that each threshold may give up.
 ALLOWED = 0.001
 SEED = 11
+#: Scores are counted in so many steps, and by their exact values within the steps where a threshold lies.
+STEPS = 1 << 16
 STOP = "the of and to in is that it was for on are with be at by this from or an a die der und das von zu den mit ist im des auf für dem nicht ein eine als auch le la les de des et un une du que est pour dans qui par sur au pas plus avec el los las del que y en se por con una para es al lo como más".split()
 
 
@@ -177,40 +178,107 @@ class Rules:
         return np.stack([f.score(x[:, [STATS.index(s) for s in GROUPS[g]]]) for g, f in self.forests.items()], 1)
 
 
-def fit(x: np.ndarray, good: np.ndarray, trees: int = TREES, subsample: int = SUBSAMPLE, allowed: float = ALLOWED, seed: int = SEED) -> Rules | None:
-    """Forests of the labelled rows ``x``; thresholds that at most a share ``allowed`` of the good rows pass."""
-    if not good.any():
-        return None
-    rng = np.random.default_rng(seed)
-    forests, thresholds = {}, {}
-    for g, stats in GROUPS.items():
-        part = x[:, [STATS.index(s) for s in stats]]
-        forests[g] = Forest(part[good], np.stack([part.min(0), part.max(0)]), trees, subsample, rng)
-        thresholds[g] = calibrated(forests[g].score(part), good, allowed)
-    return Rules(forests, thresholds)
+def labelled(labels: DataFrame) -> DataFrame:
+    """``doc_id``, ``good`` and ``toxic`` of every labelled ``doc_id``; the worst of several labels counts."""
+    labels = column(column(column(labels, "doc_id", "bigint"), "quality", "int"), "toxic", "int")
+    return labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("good"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"))
+
+
+def train(docs: DataFrame, labels: DataFrame, trees: int = TREES, subsample: int = SUBSAMPLE, allowed: float = ALLOWED, seed: int = SEED) -> Rules | None:
+    """Rules from all labelled rows that have words, a repeated row counting once: statistics and scores are made and counted where the rows are.
+
+    Only the rows that the trees draw reach the driver, at most ``trees * subsample``, those of the
+    smallest hash of all good ones. At most a share ``allowed`` of the good rows is over a threshold.
+    """
+    spark = docs.sparkSession
+    made = [scratch_path(spark, f"rules-{x}") for x in ("rows", "scores")]
+    good = labelled(labels).select("doc_id", (F.col("good") > 0).cast("int").alias("good"))
+    try:
+        rows = written(measured(slim(docs), ["doc_id"]).filter("log_words > 0").join(good, "doc_id").distinct(), "", made[0])
+        box = rows.agg(F.sum("good").alias("good"), *(f(s).alias(f"{f.__name__}_{s}") for s in STATS for f in (F.min, F.max))).first()
+        if not box["good"]:
+            return None
+        low, high = (np.array([box[f"{f}_{s}"] for s in STATS]) for f in ("min", "max"))
+        drawn = rows.filter("good = 1").withColumn("o", F.xxhash64(F.lit(seed), "doc_id", *STATS)).orderBy("o", "doc_id").limit(trees * subsample)
+        x, rng = drawn.select(*STATS).toPandas().to_numpy(float), np.random.default_rng(seed)
+        forests = {}
+        for g, stats in GROUPS.items():
+            of = [STATS.index(s) for s in stats]
+            forests[g] = Forest(x[:, of], np.stack([low[of], high[of]]), trees, subsample, rng)
+        rules = Rules(forests, {})
+        rules.thresholds = calibrated(written(_scored(rows, rules), "", made[1]), allowed)
+        return rules
+    finally:
+        for path in made:
+            remove(spark, path)
+
+
+def _scored(rows: DataFrame, rules: Rules) -> DataFrame:
+    """``good`` and every group's score of every row of statistics."""
+    sent = rows.sparkSession.sparkContext.broadcast(rules)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            score = sent.value.scores(np.stack([np.asarray(batch[s]) for s in STATS], 1))
+            yield pa.RecordBatch.from_arrays([batch["good"], *(pa.array(score[:, i]) for i in range(len(GROUPS)))], ["good", *GROUPS])
 
-def calibrated(score: np.ndarray, good: np.ndarray, allowed: float) -> float:
-    """Half-way from the last good score that stays to the next anomalous one above it; a forest that finds no anomalies rejects nothing new."""
-    limit = np.quantile(score[good], 1 - allowed, method="higher")
-    beyond = score[~good]
-    beyond = beyond[beyond > limit]
-    return float((limit + np.quantile(beyond, 0.02)) / 2) if beyond.size else float(limit + 0.02)
+    return rows.mapInArrow(run, ", ".join(["good int", *(f"{g} double" for g in GROUPS)]))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int) -> DataFrame:
-    """At most ``limit`` labelled rows, those of the smallest hash of ``doc_id``: ``doc_id``, ``good``, ``toxic`` and the text."""
-    labels = column(column(column(labels, "doc_id", "bigint"), "quality", "int"), "toxic", "int")
-    labels = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("good"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"))
-    chosen = labels.withColumn("o", F.xxhash64("doc_id")).orderBy("o", "doc_id").limit(limit).drop("o")
-    return slim(docs).join(F.broadcast(chosen), "doc_id")
+def _counted(scored: DataFrame, within: list[list[int]] | None = None) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
+    """By group and ``good``: the steps that rows' scores are in, ascending, and the number of rows; or the same of the scores ``within`` each group's steps."""
 
-
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, **parameters) -> Rules | None:
-    """Rules from a bounded sample of labelled rows; statistics are made where the texts are."""
-    rows = measured(labelled_sample(docs, labels, sample), ["doc_id", "good"]).toPandas().sort_values("doc_id", kind="stable").drop_duplicates()
-    rows = rows[rows["log_words"] > 0]
-    return fit(rows[STATS].to_numpy(float), rows["good"].to_numpy() > 0, **parameters) if len(rows) else None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = np.asarray(batch["good"])
+            for i, g in enumerate(GROUPS):
+                score = np.asarray(batch[g])
+                step = np.floor(score * STEPS)
+                for kind in (0, 1):
+                    of = good == kind
+                    values, n = np.unique(step[of] if within is None else score[of & np.isin(step, within[i])], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n.size, i, np.int32)), pa.array(np.full(n.size, kind, np.int32)), pa.array(values.astype(float)), pa.array(n.astype(np.int64))], ["i", "good", "value", "n"])
+
+    rows = scored.mapInArrow(run, "i int, good int, value double, n bigint").groupBy("i", "good", "value").agg(F.sum("n").alias("n")).toPandas().sort_values("value")
+    of = {k: (r["value"].to_numpy(float), r["n"].to_numpy(np.int64)) for k, r in rows.groupby(["i", "good"])}
+    return {(i, kind): of.get((i, kind), (np.zeros(0), np.zeros(0, np.int64))) for i in range(len(GROUPS)) for kind in (0, 1)}
+
+
+def _place(n: np.ndarray, rank: int) -> tuple[int, int]:
+    """Which of the values that ``n`` rows each have the row of this rank has, and its rank among those."""
+    end = np.cumsum(n)
+    at = int(np.searchsorted(end, rank, "right"))
+    return at, int(rank - (end[at] - n[at]))
+
+
+def calibrated(scored: DataFrame, allowed: float) -> dict[str, float]:
+    """Of each group: half-way from the last good score that stays to the next anomalous one above it, by the quantiles of all rows; a forest that finds no anomalies rejects nothing new."""
+    steps, many = _counted(scored), range(len(GROUPS))
+    last = []
+    for i in many:
+        step, n = steps[i, 1]
+        at, rank = _place(n, int(np.ceil((1 - allowed) * (n.sum() - 1))))
+        last.append((step[at], rank))
+    near = _counted(scored, [[step] for step, _ in last])
+    limit = [near[i, 1][0][_place(near[i, 1][1], rank)[0]] for i, (_, rank) in enumerate(last)]
+    # the poor rows beyond the limit: those of its own step by their scores, the others by their steps
+    places, total = [], []
+    for i in many:
+        step, n = steps[i, 0]
+        above = step > last[i][0]
+        beyond = np.append(near[i, 0][1][near[i, 0][0] > limit[i]].sum(), n[above])
+        total.append(0.02 * (beyond.sum() - 1))
+        places.append([(np.append(last[i][0], step[above])[at], rank) for at, rank in (_place(beyond, int(f(total[i]))) for f in (np.floor, np.ceil))] if beyond.sum() else [])
+    far = _counted(scored, [[step for step, _ in p] for p in places])
+    thresholds = {}
+    for i, g in enumerate(GROUPS):
+        value, n = far[i, 0]
+        found = []
+        for step, rank in places[i]:
+            own = (np.floor(value * STEPS) == step) & (value > limit[i])
+            found.append(value[own][_place(n[own], rank)[0]])
+        thresholds[g] = float((limit[i] + found[0] + (found[1] - found[0]) * (total[i] % 1)) / 2) if found else float(limit[i] + 0.02)
+    return thresholds
 
 
 def measured(docs: DataFrame, keep: list[str]) -> DataFrame:

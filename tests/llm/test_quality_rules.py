@@ -88,3 +88,24 @@ def test_without_labels_only_empty_texts_go(odd, nothing, small):
     assert rules is None
     assert sorted(r["doc_id"] or 0 for r in qr.kept(odd, rules).collect()) == [0, 1, 1, 5, 6, 7, 8, 9]
     assert qr.train(nothing, small("labels")) is None
+
+
+def test_every_labelled_row_counts(spark):
+    """Thresholds are the quantiles of the scores of all labelled rows, 11,940 here, by brute force."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    docs, labels = docs.join(labels.select("doc_id"), "doc_id"), labels.drop("toxic")
+    many, told = docs.limit(0).select("doc_id", "text"), labels.limit(0)
+    for i in range(3):
+        many = many.unionByName(docs.selectExpr(f"doc_id + {i} * 1000000 AS doc_id", f"substring(text, {1 + 60 * i}, 900) AS text"))
+        told = told.unionByName(labels.selectExpr(f"doc_id + {i} * 1000000 AS doc_id", "quality"))
+    rules = qr.train(many.unionByName(many.limit(50)), told.withColumn("toxic", told["quality"] * 0))
+    rows = many.join(told, "doc_id").toPandas()
+    x = qr.statistics(pa.array(rows["text"]))
+    full = x[:, 0] > 0
+    x, good = x[full], rows["quality"].to_numpy()[full] > 0
+    assert len(x) > 8000
+    for i, g in enumerate(qr.GROUPS):
+        score = rules.scores(x)[:, i]
+        limit = np.quantile(score[good], 1 - qr.ALLOWED, method="higher")
+        beyond = score[~good & (score > limit)]
+        assert rules.thresholds[g] == pytest.approx((limit + np.quantile(beyond, 0.02)) / 2 if beyond.size else limit + 0.02, abs=1e-12), g
