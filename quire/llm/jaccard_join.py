@@ -16,9 +16,12 @@ makes no candidates where rarer tokens cover the prefix. The prefix is extended
    no partner has them (their number stays known).
 3. Per document: those where too few tokens are shared to have a partner end here.
 4. Prefixes -> index entries -> candidate families, each a component of "has an index entry in common";
-   an entry goes out once a batch of documents, the others of the batch being tied to its first.
+   an entry goes out once a batch of documents, the others of the batch being tied to its first. Of
+   equal token sets one is indexed. In a large corpus many n-grams are shared by chance, and single
+   rare tokens then tie most documents into one family; the documents of families of over BLOCK are
+   indexed again by pairs of tokens only, which no less leave no partner out, and fall into finer ones.
 5. Per family: Jaccard of the real token sets, exact; a pair already in one group needn't be compared.
-   Families of over BLOCK documents are compared block against block in many tasks.
+   Families that still have over BLOCK documents are compared block against block in many tasks.
 6. Groups: components of the pairs found. Equal token sets are compared as one.
 
 Fingerprints have 32 bits more than the number of ranges needs, as in a hash join of that size.
@@ -363,6 +366,13 @@ def grouped(fp: np.ndarray, off: np.ndarray, size: np.ndarray, t: float) -> np.n
     return group
 
 
+def _families(survivors: DataFrame, left_out: DataFrame, t: float, rare: int, bits: int) -> DataFrame:
+    """Components of "has an index entry in common" of the survivors but for those that are ``left_out``, by their place; no row is moved."""
+    gone = left_out.select(F.col("at").alias("file"), F.col("nth").alias("row"))
+    some = _without(survivors, gone, gone.count())
+    return written(components(written(_candidates(_index(some, t, rare, bits)), "near-candidates")), "near-families")
+
+
 def _verified(survivors: DataFrame, members: DataFrame, families: DataFrame, t: float, block: int) -> DataFrame:
     """Pairs that tie every group together, each within one family."""
     ones = members.filter("uid = rep").select("uid").join(families.withColumnRenamed("node", "uid"), "uid")
@@ -401,8 +411,15 @@ def near_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, r
     bits = max(0, int(np.ceil(np.log2(max(1, size / 6 / range_tokens)))))
     survivors = written(_survivors(_frequent(_tokenised(docs, n, bits)), threshold), "near-survivors")
     keys = survivors.groupBy("k1", "k2").agg(F.min("uid").alias("rep"))
-    members = written(survivors.select("uid", "doc_id", "h", "file", "row", "k1", "k2").join(keys, ["k1", "k2"]).select("uid", "doc_id", "h", "file", "row", "rep"), "near-members")
-    families = written(components(written(_candidates(_index(survivors, threshold, rare, bits)), "near-candidates")), "near-families")
+    at, nth = _place(survivors)
+    members = survivors.select("uid", "doc_id", "h", "file", "row", "k1", "k2", at.alias("at"), nth.alias("nth")).join(keys, ["k1", "k2"])
+    members = written(members.select("uid", "doc_id", "h", "file", "row", "rep", "at", "nth"), "near-members")
+    families = _families(survivors, members.filter("uid <> rep"), threshold, rare, bits)
+    sizes = written(families.groupBy("component").count().filter(F.col("count") > block).select("component"), "near-crowds")
+    if sizes.limit(1).count():
+        crowd = written(families.join(sizes, "component").select(F.col("node").alias("uid")), "near-crowd")
+        finer = _families(survivors, members.join(crowd, "uid", "left_anti"), threshold, 0, bits)
+        families = families.join(sizes, "component", "left_anti").select("node", "component").unionByName(finer)
     ties = components(written(_verified(survivors, members, families, threshold, block), "near-pairs"))
     labelled = members.join(ties.withColumnRenamed("node", "rep"), "rep", "left").withColumn("grp", F.coalesce("component", "rep"))
     return written(labelled.select("doc_id", "h", "file", "row", "grp", "uid"), "near-groups")

@@ -125,3 +125,20 @@ def test_rows_of_files_are_left_out_by_place(spark, odd, tmp_path, monkeypatch,
     kept = jj.deduplicated(spark.read.parquet(path))
     assert kept.columns == odd.columns
     assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 0, 1, 2, 3, 4, 5, 7, 8, 9, *range(100, 107)]
+
+
+def test_ngrams_shared_by_chance_do_not_tie_all_documents_together(spark, monkeypatch):
+    """Few words, so that most n-grams are in some other document: families stay small, and no pair is lost."""
+    r = random.Random(3)
+    texts = [[f"w{r.randrange(24)}" for _ in range(40)] for _ in range(900)]
+    texts += [[w if r.random() > 0.03 else f"w{r.randrange(24)}" for w in t] for t in texts[:60]] + texts[60:90]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    largest, verified = [], jj._verified
+
+    def watched(survivors, members, families, *rest):
+        largest.append(families.groupBy("component").count().agg({"count": "max"}).first()[0])
+        return verified(survivors, members, families, *rest)
+
+    monkeypatch.setattr(jj, "_verified", watched)
+    assert check(spark, rows, block=50)
+    assert largest[0] <= 50
