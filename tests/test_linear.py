@@ -4,9 +4,10 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from quire import registry
-from quire.operators import diff
+from quire.operators import diff, grid
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -71,3 +72,48 @@ def test_documents_of_many_cells_are_compared_alone(annotated, monkeypatch):
 def test_annotations_shuffle_line_items_only(spark, name):
     items = spark.read.parquet(f"{SMALL}/lineitem.parquet").count()
     assert shuffled(spark, registry.QUERIES[name](spark, SMALL)) <= items
+
+
+# --- grids ------------------------------------------------------------------------------
+
+TEXTS = ["ab c\n\n  d\te  \nfg hi jk lm no pq\n\n", "", None, "   ", "0123456789", "01234567890", " x\n" * 30, "é𝒳 ß\n" + "y" * 200 + "\n\n z", "\n\nü" + "w" * 80, "a\n" + "b" * 40 + "\n" + "c" * 90]
+
+
+@pytest.fixture(scope="module")
+def texts(spark):
+    return spark.createDataFrame(list(enumerate(TEXTS)), "doc_id bigint, text string")
+
+
+KEY = ["doc_id"]
+
+
+def cells_of(rows, *more):
+    return grid.cells_of_rows(rows, KEY, *more)
+
+
+@pytest.mark.parametrize("row,col", [(0, 10), (2, 1), (0, 0), (1, 500)])
+def test_split_row(texts, row, col):
+    # cells that have moved down keep their boxes, so boxes are left out
+    one, two = grid.split_row(grid.from_text(texts), KEY, row, col), cells_of(grid.split_row_of_rows(grid.rows_of_text(texts), KEY, row, col))
+    same_rows(*(x.select("doc_id", "row", "col", "char") for x in (one, two)))
+
+
+@pytest.mark.parametrize("begin,length", [(50, 100), (0, 5), (5, 60), (3, 0)])
+def test_clip_and_label(texts, begin, length):
+    cells, rows = grid.from_text(texts), grid.rows_of_text(texts)
+    one, two = grid.clip_to_interval(cells, KEY, begin, length), cells_of(grid.clip_rows_to_interval(rows, KEY, begin, length), "index")
+    assert Counter(map(repr, one.select("doc_id", "row", "col", "char", "l", "t", F.col("index").cast("bigint")).collect())) == Counter(map(repr, two.select("doc_id", "row", "col", "char", "l", "t", F.col("index").cast("bigint")).collect()))
+    one, two = (f(x, KEY, "Header", begin, length) for f, x in ((grid.label_sequence, cells), (grid.label_sequence_of_rows, rows)))
+    assert Counter(map(repr, one.select(*one.columns).collect())) == Counter(map(repr, two.select(*one.columns).collect()))
+
+
+def test_text_and_json_of_rows(texts):
+    cells, rows = grid.from_text(texts), grid.rows_of_text(texts)
+    same_rows(grid.to_text(grid.trim_right(cells, KEY), KEY), grid.text_of_rows(rows, KEY))
+    same_rows(grid.to_json(cells, KEY, F.concat(F.lit("d"), F.col("doc_id"))), grid.json_of_rows(rows, KEY, F.concat(F.lit("d"), F.col("doc_id"))))
+
+
+@pytest.mark.parametrize("name", ["grd_text", "grd_clipped", "grd_split_rows", "grd_label_sequence", "grd_json_round_trip"])
+def test_grids_shuffle_no_cells(spark, name):
+    rows = grid.rows_of_text(spark.read.parquet(f"{SMALL}/documents.parquet")).count()
+    assert shuffled(spark, registry.QUERIES[name](spark, SMALL)) <= 3 * rows
