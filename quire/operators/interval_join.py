@@ -24,6 +24,12 @@ def stab(intervals: DataFrame, points: DataFrame, start: str, end: str, point: s
     return spread.join(placed, [*keys, "__b"]).filter(F.col(point).between(F.col(start), F.col(end))).drop("__b")
 
 
+def stab_counts(intervals: DataFrame, points: DataFrame, start: str, end: str, point: str, width: float, by: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """How many points :func:`stab` gives the intervals of each key ``by``, ``n``, and the ``first`` of them. Equal points are counted before they are joined, so the pairs don't grow with both sides."""
+    counts = points.groupBy(*keys, point).agg(F.count("*").alias("__c"))
+    return stab(intervals.select(*dict.fromkeys([*by, start, end, *keys])), counts, start, end, point, width, keys).groupBy(*by).agg(F.sum("__c").alias("n"), F.min(point).alias("first"))
+
+
 def overlap(left: DataFrame, right: DataFrame, left_bounds: tuple[str, str], right_bounds: tuple[str, str], width: float, keys: Sequence[str] = ()) -> DataFrame:
     """Every pair of closed intervals that have a point in common; null bounds are infinite."""
     (ls, le), (rs, re) = left_bounds, right_bounds

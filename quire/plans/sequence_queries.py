@@ -264,9 +264,8 @@ def _spans_of_orders(spark, sf):
 
 def stabbing(spark, sf):
     """Shipping dates within the few days after an order of the same group."""
-    points = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.unix_date(F.to_date("l_shipdate")).alias("p"), (F.col("l_partkey") % 20).alias("k"))
-    found = interval_join.stab(_spans_of_orders(spark, sf), points, "s", "e", "p", 8, ["k"])
-    return found.groupBy("o_orderkey").agg(F.count("*").alias("n"), F.min("p").alias("first_day"))
+    points = table(spark, sf, "lineitem").select(F.unix_date(F.to_date("l_shipdate")).alias("p"), (F.col("l_partkey") % 20).alias("k"))
+    return interval_join.stab_counts(_spans_of_orders(spark, sf), points, "s", "e", "p", 8, ["o_orderkey"], ["k"]).withColumnRenamed("first", "first_day")
 
 
 _ORDER_SPANS = "SELECT o_orderkey, CAST(date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS INTEGER) AS s, CAST(date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) + o_orderkey % 4 AS INTEGER) AS e, o_custkey % 20 AS k, o_custkey FROM orders"
