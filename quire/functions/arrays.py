@@ -50,3 +50,10 @@ def starts_of(ordered: np.ndarray) -> np.ndarray:
     new = np.ones(ordered.size, bool)
     new[1:] = ordered[1:] != ordered[:-1]
     return np.flatnonzero(new)
+
+
+def characters(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Row and code point of every character; a null has none."""
+    n, text = len(texts), "".join(x for x in texts.to_pylist() if x)
+    char = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.repeat(np.arange(n), pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False)), char

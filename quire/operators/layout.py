@@ -7,18 +7,24 @@ document and page; steps that consume glyphs as they go are one pandas call a pa
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions.arrays import characters
 from quire.functions.geometry import Box, Line, Trapezoid, angle_class
 from quire.operators.aggregates import most_common, union_bounds
 from quire.operators.cluster import nearest_bins, sparse_histogram
 from quire.operators.sequence import group_by_pairs
 
 PAGE = ("doc_id", "page")
+#: Text handled at once by a kernel; a longer line is handled alone.
+TEXT_BYTES = 1 << 21
 
 
 # --- glyphs -----------------------------------------------------------------------------
@@ -292,13 +298,12 @@ def caption_begins(text: Column) -> Column:
 def votes(shapes: DataFrame, texts: DataFrame) -> DataFrame:
     """Pins that pairs of lines give their two lines, counted: a paragraph begins, goes on or ends; a caption begins."""
     s = F.col("shape")
-    vote = lambda line, pin_, cond: shapes.filter(cond).select(*PAGE, F.col(line).alias("line"), F.lit(pin_).alias("pin"), F.lit("Para").alias("label"))
-    rows = [vote("line", "B", s == "IndentedParaBegin"), vote("below", "I", s.isin("ParaBegin", "IndentedParaBegin")), vote("line", "I", s == "ParaBegin"), vote("below", "L", s == "ParaLast"), vote("line", "L", s == "ParaLastAndBegin"), vote("below", "B", s == "ParaLastAndBegin")]
-    rows.append(texts.filter(caption_begins(F.col("text"))).select(*PAGE, "line", F.lit("B").alias("pin"), F.lit("Caption").alias("label")))
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out.groupBy(*PAGE, "line", "pin", "label").agg(F.count("*").alias("n"))
+    vote = lambda line, pin_, cond: F.when(cond, F.struct(F.col(line).alias("line"), F.lit(pin_).alias("pin"), F.lit("Para").alias("label")))
+    given = [vote("line", "B", s == "IndentedParaBegin"), vote("below", "I", s.isin("ParaBegin", "IndentedParaBegin")), vote("line", "I", s == "ParaBegin"), vote("below", "L", s == "ParaLast"), vote("line", "L", s == "ParaLastAndBegin"), vote("below", "B", s == "ParaLastAndBegin")]
+    # one pass over the pairs, whatever the number of votes
+    para = shapes.select(*PAGE, F.inline(F.filter(F.array(*given), lambda v: v.isNotNull())))
+    caption = texts.filter(caption_begins(F.col("text"))).select(*PAGE, "line", F.lit("B").alias("pin"), F.lit("Caption").alias("label"))
+    return para.unionByName(caption).groupBy(*PAGE, "line", "pin", "label").agg(F.count("*").alias("n"))
 
 
 def trigrams(texts: DataFrame) -> DataFrame:
@@ -311,6 +316,27 @@ def trigrams(texts: DataFrame) -> DataFrame:
     return cut.select(*PAGE, "line", F.explode(F.array_distinct(tri)).alias("tri")).groupBy("tri").agg(F.count("*").alias("n_lines"), F.sort_array(F.collect_list(F.struct(*PAGE, "line"))).alias("lines"))
 
 
+def trigram_counts(texts: DataFrame) -> DataFrame:
+    """``tri`` and ``n_lines`` of :func:`trigrams`: a line's trigrams are found as numbers, and those of many lines counted before they are shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = np.concatenate([np.zeros(1, np.int64), np.cumsum(pc.fill_null(pc.binary_length(batch["x"]), 0).to_numpy(zero_copy_only=False), dtype=np.int64)])
+            at = 0
+            while at < batch.num_rows:
+                to = min(max(int(np.searchsorted(size, size[at] + TEXT_BYTES, "right")) - 1, at + 1), batch.num_rows)
+                row, char = characters(batch["x"].slice(at, to - at))
+                at, char = to, char.astype(np.int64)
+                whole = np.flatnonzero(row[2:] == row[:-2])
+                tri = char[whole] << 42 | char[whole + 1] << 21 | char[whole + 2]
+                words, tri = np.unique(tri, return_inverse=True)
+                n = np.bincount(np.unique(row[whole] * np.int64(max(words.size, 1)) + tri) % max(words.size, 1), minlength=words.size)
+                text = "".join(map(chr, np.stack([words >> 42, words >> 21 & 0x1FFFFF, words & 0x1FFFFF], 1).ravel().tolist()))
+                yield pa.RecordBatch.from_arrays([pa.array([text[i : i + 3] for i in range(0, len(text), 3)], pa.string()), pa.array(n.astype(np.int64))], ["tri", "n"])
+
+    return texts.select(F.lower("text").alias("x")).mapInArrow(run, "tri string, n bigint").groupBy("tri").agg(F.sum("n").alias("n_lines"))
+
+
 def glyphs_of_text(cells: DataFrame) -> DataFrame:
     """Grid cells as a glyphs table of one page a document; characters of a kind share a font, so that fonts vary as in real pages."""
     font = F.when(F.col("char").rlike(r"^[0-9]$"), "Digits").when(F.col("char").rlike(r"^\p{Lu}$"), "Caps").otherwise("Body")
