@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator, Sequence
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions.arrays import flat
 from quire.operators.cluster import nearest_bins
 from quire.operators.sequence import group_by_pairs
 
@@ -29,19 +32,40 @@ def hanging(lines: DataFrame, tolerance: int = 100) -> DataFrame:
 
 def justified(lines: DataFrame, tolerance: float = 1.0) -> DataFrame:
     """Lines of unindented entries with ``entry``: a new one where the step down is over the threshold, which lies between the two commonest steps (a tenth more than their mean)."""
-    schema = ", ".join(f"`{c}` {t}" for c, t in lines.dtypes) + ", entry int"
-
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["t", "line"]).reset_index(drop=True)
-        steps = part["t"].diff().dropna().astype(int)
-        bins = nearest_bins(list(steps.value_counts().items()), tolerance)
-        if len(bins) < 2:
-            return part.assign(entry=0)
-        spans = sorted((min([h[0], *(v for v, _ in n)]), max([h[0], *(v for v, _ in n)])) for h, n in bins[:2])
-        limit = (spans[0][1] + spans[1][0]) / 2 + 10
-        return part.assign(entry=(part["t"].diff() > limit).cumsum().astype(int))
-
-    return lines.groupBy(*BLOCK).applyInPandas(fold, schema)
+    w = Window.partitionBy(*BLOCK)
+    order = w.orderBy("t", "line")
+    stepped = lines.withColumn("__step", F.col("t") - F.lag("t").over(order))
+    # of a block only the different steps and their counts are looked at, many blocks a call
+    counts = stepped.groupBy(*BLOCK, "__step").agg(F.count("*").alias("__n")).groupBy(*BLOCK).agg(F.collect_list(F.struct("__step", "__n")).alias("__steps"))
+    kinds = dict(lines.dtypes)
+
+    def limits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[tuple, float | None] = {}
+        for batch in batches:
+            off, values = flat(batch["__steps"])
+            step, n = (x.to_pylist() for x in values.flatten())
+            out = []
+            for i, j in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
+                steps = tuple(sorted((s, c) for s, c in zip(step[i:j], n[i:j], strict=True) if s is not None))
+                if steps not in known:
+                    if len(known) > 100_000:
+                        known.clear()
+                    known[steps] = step_limit(steps, tolerance)
+                out.append(known[steps])
+            yield pa.RecordBatch.from_arrays([*(batch[k] for k in BLOCK), pa.array(out, pa.float64())], [*BLOCK, "__limit"])
+
+    limit = counts.mapInArrow(limits, ", ".join(f"{k} {kinds[k]}" for k in BLOCK) + ", __limit double")
+    parted = stepped.join(limit, list(BLOCK)).withColumn("__new", F.coalesce((F.col("__step") > F.col("__limit")).cast("int"), F.lit(0)))
+    return parted.withColumn("entry", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).select(*lines.columns, "entry")
+
+
+def step_limit(steps: Sequence[tuple[int, int]], tolerance: float) -> float | None:
+    """The threshold of (step, count) pairs; none if all steps are alike."""
+    bins = nearest_bins(steps, tolerance)
+    if len(bins) < 2:
+        return None
+    spans = sorted((min([h[0], *(v for v, _ in n)]), max([h[0], *(v for v, _ in n)])) for h, n in bins[:2])
+    return (spans[0][1] + spans[1][0]) / 2 + 10
 
 
 def kept(entries: DataFrame, labelled: DataFrame, least: int = 2) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire import registry
-from quire.operators import diff, grid
+from quire.operators import cluster, diff, grid, interval_join, layout, references
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -117,3 +117,61 @@ def test_text_and_json_of_rows(texts):
 def test_grids_shuffle_no_cells(spark, name):
     rows = grid.rows_of_text(spark.read.parquet(f"{SMALL}/documents.parquet")).count()
     assert shuffled(spark, registry.QUERIES[name](spark, SMALL)) <= 3 * rows
+
+
+# --- intervals, votes, trigrams, references ---------------------------------------------
+
+
+def test_stab_counts(spark):
+    r = random.Random(3)
+    spans = spark.createDataFrame([(r.randrange(40), s := r.randrange(60), s + r.randrange(-1, 9), r.randrange(3)) for _ in range(120)], "id int, s int, e int, k int")
+    points = spark.createDataFrame([(r.choice([None, *range(70)]), r.randrange(3)) for _ in range(900)], "p int, k int")
+    one = interval_join.stab(spans, points, "s", "e", "p", 8, ["k"]).groupBy("id").agg(F.count("*").alias("n"), F.min("p").alias("first"))
+    same_rows(one, interval_join.stab_counts(spans, points, "s", "e", "p", 8, ["id"], ["k"]))
+
+
+def test_stabbing_joins_counted_points(spark):
+    spans = spark.range(2000).select("id", (F.col("id") % 5).cast("int").alias("s"), (F.col("id") % 5 + 3).cast("int").alias("e"))
+    points = spark.range(2000).select((F.col("id") % 7).cast("int").alias("p"))
+    found = interval_join.stab_counts(spans, points, "s", "e", "p", 8, ["id"])
+    assert shuffled(spark, found) < 10_000  # all pairs would be over a million
+    assert found.agg(F.sum("n")).first()[0] == sum(1 for i in range(2000) for j in range(2000) if i % 5 <= j % 7 <= i % 5 + 3)
+
+
+def test_votes_take_one_pass(spark):
+    df = registry.QUERIES["shp_votes"](spark, SMALL)
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 2
+
+
+def test_trigram_counts(spark):
+    rows = [(i, 0, 0, x) for i, x in enumerate([None, "", "ab", "abc", "Aaaaa aaa", "é𝒳ß x", "𝒳𝒳𝒳𝒳", "abcabc\tabc", "abc", "İstan"])]
+    lines = spark.createDataFrame(rows, "doc_id bigint, page int, line int, text string")
+    same_rows(layout.trigrams(lines).select("tri", "n_lines"), layout.trigram_counts(lines))
+
+
+def test_trigrams_are_counted_before_the_shuffle(spark):
+    lines = spark.range(0, 4000, 1, 4).select(F.col("id").alias("doc_id"), F.lit(0).alias("page"), F.lit(0).alias("line"), F.concat(F.lit("the same words "), F.col("id")).alias("text"))
+    assert shuffled(spark, layout.trigram_counts(lines)) < 10_000
+
+
+@pytest.mark.parametrize("tolerance", [1.0, 3.0])
+def test_justified(spark, tolerance):
+    r, rows = random.Random(9), []
+    for doc in range(25):
+        t = 0
+        for line in range(r.randrange(1, 30)):
+            rows.append((doc, 0, 0, line, t, f"x{line}"))
+            t += r.choice([0, 900, 1000, 1000, 1010, 1700, 3000] if doc else [1000])
+    r.shuffle(rows)
+    lines = spark.createDataFrame(rows, "doc_id bigint, page int, block int, line int, t int, text string")
+
+    def fold(part):
+        part = part.sort_values(["t", "line"]).reset_index(drop=True)
+        bins = cluster.nearest_bins(list(part["t"].diff().dropna().astype(int).value_counts().items()), tolerance)
+        if len(bins) < 2:
+            return part.assign(entry=0)
+        spans = sorted((min([h[0], *(v for v, _ in n)]), max([h[0], *(v for v, _ in n)])) for h, n in bins[:2])
+        return part.assign(entry=(part["t"].diff() > (spans[0][1] + spans[1][0]) / 2 + 10).cumsum().astype(int))
+
+    plain = lines.groupBy("doc_id", "page", "block").applyInPandas(fold, "doc_id bigint, page int, block int, line int, t int, text string, entry int")
+    same_rows(plain, references.justified(lines, tolerance))
