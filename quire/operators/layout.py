@@ -133,29 +133,75 @@ def text_lines(runs: DataFrame, metrics: DataFrame) -> DataFrame:
 
     def page(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("item_id").reset_index(drop=True)
-        counts = part.groupby("font")["item_id"].count()
-        free, out, number = pd.Series(True, part.index), [], 0
-        for font in sorted(counts.index, key=lambda f: (-counts[f], f)):
-            for _, run in part[part["font"] == font].groupby("run", sort=True):
-                if not free[run.index].any():
-                    continue
-                root = run[free[run.index]].iloc[0]
-                top, bottom = root["fb"] - root["ascent"], root["fb"] + root["descent"]
-                band = part[free & (part["t"] <= bottom) & (part["t"] + part["h"] >= top)]
-                groups = (band["item_id"].diff() != 1).cumsum()
-                line = band[groups == groups[root.name]] if root.name in band.index else run[free[run.index]]
-                if not line["l"].is_monotonic_increasing and groups.nunique() > 1:
-                    line = run[free[run.index]]
-                free[line.index] = False
-                font_of = line["font"].value_counts()
-                out.append(line.assign(line=number, primary_font=min(font_of[font_of == font_of.max()].index)))
-                number += 1
-        lines = pd.concat(out) if out else part.head(0).assign(line=0, primary_font="")
+        names, font = np.unique(part["font"].to_numpy(object), return_inverse=True)
+        line = fold_lines(part["item_id"].to_numpy(), font, *(part[c].to_numpy() for c in ("run", "l", "t", "h", "fb", "ascent", "descent")))
+        part, font, line = part[line >= 0], font[line >= 0], line[line >= 0]
+        used = np.zeros((int(line.max()) + 1, names.size), np.int64)
+        np.add.at(used, (line, font), 1)
+        order = np.argsort(line, kind="stable")
+        lines = part.assign(line=line, primary_font=names[used.argmax(1)][line]).iloc[order]
         return lines[[c.split()[0] for c in LINE_SCHEMA.split(", ")]]
 
     return m.groupBy(*PAGE).applyInPandas(page, LINE_SCHEMA)
 
 
+def fold_lines(item: np.ndarray, font: np.ndarray, run: np.ndarray, l: np.ndarray, t: np.ndarray, h: np.ndarray, fb: np.ndarray, ascent: np.ndarray, descent: np.ndarray) -> np.ndarray:  # noqa: E741
+    """The line of each glyph of a page, as :func:`text_lines` finds it, glyphs by id and fonts numbered by name.
+
+    What a run has left beyond a gap in the ids when its line is taken is in no line: -1. Following glyphs of one height and place are taken as one piece, so a line costs as many steps as it has pieces."""
+    n = item.size
+    used = np.bincount(font)
+    rank = np.empty(used.size, np.int64)
+    rank[np.lexsort((np.arange(used.size), -used))] = np.arange(used.size)
+    order = np.lexsort((run, rank[font]))
+    cut = np.ones(n + 1, bool)
+    cut[1:n] = (run[order][1:] != run[order][:-1]) | (font[order][1:] != font[order][:-1])
+    edge = np.flatnonzero(cut)
+    firsts, lasts, edge = order[edge[:-1]].tolist(), order[edge[1:] - 1].tolist(), edge.tolist()
+    follows = np.zeros(n, bool)
+    follows[1:] = np.diff(item) == 1
+    piece = np.ones(n, bool)
+    piece[1:] = ~(follows[1:] & (t[1:] == t[:-1]) & (h[1:] == h[:-1]))
+    begin = np.flatnonzero(piece)
+    of, tops, bottoms = (np.cumsum(piece) - 1).tolist(), t[begin], (t + h)[begin]
+    left = np.diff(np.append(begin, n))
+    joined, high, low = follows[begin].tolist(), tops.tolist(), bottoms.tolist()
+    begin = [*begin.tolist(), n]
+    fall = np.concatenate([np.zeros(1, np.int64), np.cumsum(l[1:] < l[:-1])]).tolist()
+    up, down = (fb - ascent).tolist(), (fb + descent).tolist()
+    free, line, number = bytearray(b"\1" * n), np.full(n, -1), 0
+    for k, (first, last) in enumerate(zip(firsts, lasts, strict=True)):
+        whole = last - first + 1 == edge[k + 1] - edge[k]
+        own = range(first, last + 1) if whole else order[edge[k] : edge[k + 1]].tolist()
+        root = free.find(1, first, last + 1) if whole else next((i for i in own if free[i]), -1)
+        if root < 0:
+            continue
+        top, bottom, s, taken = up[root], down[root], of[root], None
+        if high[s] <= bottom and low[s] >= top:
+            least, most = free.rfind(0, 0, root) + 1, free.find(0, root)
+            most, e = n if most < 0 else most, s
+            while begin[s] > least and joined[s] and high[s - 1] <= bottom and low[s - 1] >= top:
+                s -= 1
+            while begin[e + 1] < most and joined[e + 1] and high[e + 1] <= bottom and low[e + 1] >= top:
+                e += 1
+            a, b = max(begin[s], least), min(begin[e + 1], most)
+            # others in the band make more groups than one
+            if fall[b - 1] == fall[a] or left[(tops <= bottom) & (bottoms >= top)].sum() == b - a:
+                taken = range(a, b)
+        if taken is None:
+            taken = [i for i in own if free[i]]
+            for i in taken:
+                free[i] = 0
+                left[of[i]] -= 1
+            line[taken] = number
+        else:
+            free[a:b], line[a:b] = bytes(b - a), number
+            for i in range(s, e + 1):
+                left[i] -= min(begin[i + 1], b) - max(begin[i], a)
+        number += 1
+    return line
+
+
 def line_boxes(lined: DataFrame) -> DataFrame:
     boxes = union_bounds(lined, [*PAGE, "line"])
     return boxes.join(lined.groupBy(*PAGE, "line").agg(F.min("item_id").alias("first_id"), F.max("item_id").alias("last_id"), F.count("*").alias("n")), [*PAGE, "line"])
@@ -192,10 +238,13 @@ def clip_between(box: Box, x1: Column, x2: Column) -> Column:
 
 def word_gap(gaps: Sequence[int], widest: int, tolerance: float = 0.5) -> int:
     """The least gap that parts words: the widest glyph if gaps are all alike; else half-way from the largest usual gap to the commonest one of over twice that, or a unit more than the usual."""
-    values = pd.Series(list(gaps), dtype="int64").value_counts()
-    if values.empty:
-        return 0
-    bins = nearest_bins(list(values.items()), tolerance)
+    values, n = np.unique(np.asarray(gaps, np.int64), return_counts=True)
+    return least_gap(list(zip(values.tolist(), n.tolist(), strict=True)), widest, tolerance) if values.size else 0
+
+
+def least_gap(counts: Sequence[tuple[int, int]], widest: int, tolerance: float = 0.5) -> int:
+    """:func:`word_gap` of different gaps and how often there are."""
+    bins = nearest_bins(counts, tolerance)
     if len(bins) == 1:
         return int(widest)
     head, near = bins[0]

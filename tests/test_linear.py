@@ -3,11 +3,12 @@
 import random
 from collections import Counter
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from quire import registry
-from quire.operators import cluster, diff, grid, interval_join, layout, references
+from quire.operators import aggregates, cluster, diff, grid, interval_join, layout, pages, references
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -175,3 +176,88 @@ def test_justified(spark, tolerance):
 
     plain = lines.groupBy("doc_id", "page", "block").applyInPandas(fold, "doc_id bigint, page int, block int, line int, t int, text string, entry int")
     same_rows(plain, references.justified(lines, tolerance))
+
+
+# --- glyphs of whole pages --------------------------------------------------------------
+
+
+def plain_fold(part):
+    """Glyphs of a page, line by line, straight from the definition."""
+    part = part.sort_values("item_id").reset_index(drop=True)
+    free, line, number = pd.Series(True, part.index), pd.Series(-1, part.index), 0
+    counts = part.groupby("font")["item_id"].count()
+    for font in sorted(counts.index, key=lambda f: (-counts[f], f)):
+        for _, run in part[part["font"] == font].groupby("run", sort=True):
+            if not free[run.index].any():
+                continue
+            root = run[free[run.index]].iloc[0]
+            top, bottom = root["fb"] - root["ascent"], root["fb"] + root["descent"]
+            band = part[free & (part["t"] <= bottom) & (part["t"] + part["h"] >= top)]
+            groups = (band["item_id"].diff() != 1).cumsum()
+            taken = band[groups == groups[root.name]] if root.name in band.index else run[free[run.index]]
+            if not taken["l"].is_monotonic_increasing and groups.nunique() > 1:
+                taken = run[free[run.index]]
+            free[taken.index], line[taken.index] = False, number
+            number += 1
+    return part.assign(line=line)
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_fold_lines(seed):
+    r = random.Random(seed)
+    n, ids = r.randrange(1, 80), 0
+    rows = []
+    for _ in range(n):
+        ids += r.choice([1, 1, 1, 1, 1, 2])
+        new = not rows or r.random() < 0.3
+        before = rows[-1] if rows else None
+        t = r.choice([0, 0, 10, 20, 30]) if new else before["t"]
+        rows.append({"item_id": ids, "font": r.randrange(3) if new else before["font"], "run": (before["run"] + 1 if before else 0) if new else before["run"], "l": r.randrange(0, 300) if new else before["l"] + r.choice([1, 5, -3]), "t": t, "h": r.choice([8, 9, 12]) if new else before["h"], "fb": t + 9 + r.choice([0, 0, 40]), "ascent": r.choice([0, 5, 9]), "descent": r.choice([0, 1, 3])})
+    if seed % 4 == 0:
+        for row in rows:
+            row["run"] = r.randrange(5)
+    part = pd.DataFrame(rows)
+    want = plain_fold(part)["line"].tolist()
+    got = layout.fold_lines(*(part[c].to_numpy() for c in ("item_id", "font", "run", "l", "t", "h", "fb", "ascent", "descent"))).tolist()
+    assert got == want
+
+
+@pytest.fixture(scope="module")
+def glyphs(spark):
+    r = random.Random(1)
+    word = lambda: "".join(r.choice(["e", "t", "a", "n", "x", "g", "B", "É", "7", "ß", "ﬁ", "𝒳", "İ", "the", "ing"]) for _ in range(r.randrange(1, 9)))
+    texts = TEXTS + ["\n".join(" " * r.randrange(4) + (" " * r.choice([1, 1, 3])).join(word() for _ in range(r.randrange(0, 9))) for _ in range(r.randrange(1, 12))) for _ in range(25)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    table = layout.with_similar(layout.glyphs_of_text(grid.from_text(docs))).persist()
+    return table, pages.of_rows(grid.rows_of_text(docs)).persist()
+
+
+def columns_of(df, like):
+    return df.select(*[F.col(c).cast(t) for c, t in like.dtypes])
+
+
+def test_runs_and_fonts(glyphs):
+    table, whole = glyphs
+    runs = layout.text_runs(table)
+    for slow, fast in (
+        (layout.baselines(runs), pages.baselines(whole)),
+        (layout.symbol_runs(table).groupBy("doc_id", "run").agg(F.count("*").alias("n"), F.min("item_id").alias("first_id")), pages.symbol_runs(whole)),
+        (layout.font_metrics(runs), pages.font_metrics(whole)),
+        (aggregates.font_evidence(table, ("font",)), pages.font_evidence(whole)),
+    ):
+        same_rows(columns_of(slow, fast), fast)
+
+
+def test_lines(glyphs):
+    table, whole = glyphs
+    runs = layout.text_runs(table)
+    lined = layout.text_lines(runs, layout.font_metrics(runs)).persist()
+    for slow, fast in ((layout.line_boxes(lined), pages.line_boxes(whole)), (layout.font_ranges(lined), pages.font_ranges(whole)), (layout.line_texts(lined), pages.line_texts(whole))):
+        assert [(c, t) for c, t in slow.dtypes] == [(c, t) for c, t in fast.dtypes]
+        same_rows(slow, fast)
+
+
+@pytest.mark.parametrize("name", ["seg_baselines", "seg_symbol_runs", "fnt_metrics", "fnt_evidence", "lin_lines", "lin_texts", "lin_font_ranges"])
+def test_glyphs_are_not_shuffled(spark, name):
+    rows = grid.rows_of_text(spark.read.parquet(f"{SMALL}/documents.parquet")).count()
+    assert shuffled(spark, registry.QUERIES[name](spark, SMALL)) <= rows
