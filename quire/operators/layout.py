@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.arrays import characters
+from quire.functions.arrays import characters, packed, starts_of
 from quire.functions.geometry import Box, Line, Trapezoid, angle_class
 from quire.operators.aggregates import most_common, union_bounds
 from quire.operators.cluster import nearest_bins, sparse_histogram
@@ -377,9 +377,20 @@ def trigram_counts(texts: DataFrame) -> DataFrame:
                 row, char = characters(batch["x"].slice(at, to - at))
                 at, char = to, char.astype(np.int64)
                 whole = np.flatnonzero(row[2:] == row[:-2])
-                tri = char[whole] << 42 | char[whole + 1] << 21 | char[whole + 2]
-                words, tri = np.unique(tri, return_inverse=True)
-                n = np.bincount(np.unique(row[whole] * np.int64(max(words.size, 1)) + tri) % max(words.size, 1), minlength=words.size)
+                # characters are numbered anew, so that one sort of short numbers finds each line's different trigrams
+                some = np.flatnonzero(np.bincount(char)) if char.size else char
+                place = np.zeros(int(some.max(initial=0)) + 1, np.int64)
+                place[some] = np.arange(some.size)
+                code, k = place[char], max(some.size, 1)
+                tri = (code[whole] * k + code[whole + 1]) * k + code[whole + 2]
+                if int(row.max(initial=0) + 1) * k**3 < 1 << 62:
+                    key = np.sort(row[whole] * np.int64(k**3) + tri)
+                    words, n = np.unique(key[starts_of(key)] % k**3, return_counts=True)
+                else:
+                    order = np.lexsort((row[whole], tri))
+                    key = packed([row[whole][order], tri[order]])
+                    words, n = np.unique(tri[order][starts_of(key)], return_counts=True)
+                words = some[words // k**2] << 42 | some[words // k % k] << 21 | some[words % k]
                 text = "".join(map(chr, np.stack([words >> 42, words >> 21 & 0x1FFFFF, words & 0x1FFFFF], 1).ravel().tolist()))
                 yield pa.RecordBatch.from_arrays([pa.array([text[i : i + 3] for i in range(0, len(text), 3)], pa.string()), pa.array(n.astype(np.int64))], ["tri", "n"])
 
